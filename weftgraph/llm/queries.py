@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, byte_bpe, warc_archive
+from . import avi_media, best_fit_packing, byte_bpe, pii_disclosure, quality_classifier, quality_rules, warc_archive
 from .runtime import Scratch, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,14 +27,36 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(spark, table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=0, capacity=2048)
 
 
+def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.find(table(spark, sf_dir, "documents"))
+
+
+def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi_media.media_digests(avi_media.media_column(table(spark, sf_dir, "documents")))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN, digests=True)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_pii_disclosure": op4_pii_disclosure,
+    "op5_avi_media": op5_avi_media,
+    "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}
