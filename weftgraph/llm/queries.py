@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, best_fit_packing, byte_bpe, pii_disclosure, quality_classifier, quality_rules, warc_archive
+from . import avi_media, best_fit_packing, byte_bpe, pii_disclosure, quality_classifier, quality_rules, secret_scan, warc_archive
 from .runtime import Scratch, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"), s["sha256"])), ",")
+    return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
