@@ -36,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import filter_of, held
 from .runtime import Scratch, bounded_batches, only
-from .wordhash import mix, split_words, word_hashes
+from .wordhash import split_words, word_hashes
 
 # fixed values: the base kinds, in order
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
 AROUND = 6
-LEAST_TOGETHER = 3
+#: Documents that must show a term beside an entity; one alone says nothing about the corpus.
+LEAST_TOGETHER = 2
 THETA = 0.9
-FILTER_BITS = 1 << 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
@@ -172,31 +173,8 @@ def _finder(around: int):
     return run
 
 
-def _probes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mixed = mix(keys.astype(np.int64).view(np.uint64))
-    return (mixed % np.uint64(FILTER_BITS)).astype(np.int64), ((mixed >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _filter_of(terms: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS over the terms, made by a bounded aggregate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
-        for batch in batches:
-            for p in _probes(batch["term"].to_numpy(zero_copy_only=False)):
-                np.bitwise_or.at(bits, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
-        full = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(bits[full].view(np.int64))], names=["slot", "bits"])
-
-    words = terms.select("term").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["slot"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def _counter(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(bits.view(np.uint8), bitorder="little")
         quick: dict[str, int] = {}
         for batch in batches:
             w = split_words(batch["text"])
@@ -212,9 +190,7 @@ def _counter(bits: np.ndarray):
                 if got is None:
                     got = quick[word] = _key(_term(word.decode()))
                 keys[k] = got
-            a, b = _probes(keys)
-            wanted = (held[a] & held[b]).astype(bool)
-            hit = wanted[group]
+            hit = held(bits, keys)[group]
             pairs = np.unique(np.stack([keys[group[hit]], doc[hit]], axis=1), axis=0) if hit.any() else np.zeros((0, 2), np.int64)
             terms, n = np.unique(pairs[:, 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
@@ -240,7 +216,7 @@ def find(docs: DataFrame, around: int = AROUND, least_together: int = LEAST_TOGE
     pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_together)
     # n(t) is at least n(c,t), so a pair can only disclose if it does with n(t) = n(c,t)
     pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
-    bits = _filter_of(pairs)
+    bits = filter_of(pairs.select(F.col("term").alias("key")))
     counts = rows.select("text").mapInArrow(_counter(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = F.lit(float(max(total, 1)))
     information = F.log(n / F.col("n_entity"))
