@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, best_fit_packing, byte_bpe, pii_disclosure, quality_classifier, quality_rules, secret_scan, warc_archive
+from . import avi_media, best_fit_packing, byte_bpe, ngram_join, pii_disclosure, quality_classifier, quality_rules, secret_scan, substring_dedup, warc_archive
 from .runtime import Scratch, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(spark, table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=0, capacity=2048)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_disclosure.find(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, public_tokenizers.PATTERN, digests=True)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -58,10 +66,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_pii_disclosure": op4_pii_disclosure,
     "op5_avi_media": op5_avi_media,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
