@@ -22,6 +22,7 @@ table gives no rows. Texts of any length are cut into pieces, never shortened.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,50 +32,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, bounded_batches, only
+from .wordhash import split_words, word_hashes
 
 CAPACITY = 2048
 #: Open bins of a packer. Each costs about 200 bytes.
 OPEN_BINS = 65_536
 #: Pieces that one packer takes, on average.
 PIECES_A_PACKER = 250_000
-#: Words whose ids a tokenising worker remembers, in each of two generations.
-CACHED_WORDS = 400_000
+#: Words whose ids a tokenising worker remembers.
+CACHED_WORDS = 1_200_000
 
 PIECE_SCHEMA = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
-_SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+#: Words of these characters are unchanged by NFC and split alike by ``re`` and the vocabulary's own pattern.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^a-zß-öø-ÿ0-9 ]+").findall
+_END = "\x01"
+
+
+def _byte_of() -> dict[str, int]:
+    """Bytes by the printable character that byte-level vocabularies write for them."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes, with a bounded word cache.
+    """Token ids of texts, made once per distinct word and gathered by numpy.
 
     White space ends a word in the vocabulary's own splitting rule and is
     dropped, and its normaliser never joins across it; so the ids of a text
-    are those of its white-space words in turn.
+    are those of its white-space words in turn. Words are told apart by a
+    64-bit hash and remembered in a bounded cache. New words of plain
+    characters are split into the rule's pre-tokens and merged many at a time
+    by the same ranks (the mark that ends a pre-token is one more byte, merged
+    first); all others go through the tokenizer one by one.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, suffix: str = "</w>") -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [(t or "").translate(_SPACES).split(" ") if t and ("\t" in t or "\x0b" in t or "\x0c" in t or "\r" in t) else (t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = set().union(*words).difference(known)
-        known.update((w, older[w]) for w in missing.intersection(older))
-        new = list(missing.difference(older))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        for each in words:
-            yield b"".join(map(get, each))
+        byte_of = _byte_of()
+        ranks: dict[bytes, int] = {}
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ends = token.endswith(suffix)
+            core = token[: -len(suffix)] if ends else token
+            if all(c in byte_of for c in core):
+                ranks[bytes(byte_of[c] for c in core) + _END.encode() * ends] = number
+        self.space = ranks[b" " + _END.encode()]
+        self.merger = tiktoken.Encoding("words", pat_str=f"[^{_END}]*{_END}", mergeable_ranks=ranks, special_tokens={})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids, self.offset = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        plain = [k for k, word in enumerate(words) if _PLAIN(word)]
+        chosen = set(plain)
+        rest = [k for k in range(len(words)) if k not in chosen]
+        coded = np.zeros(0, "<u4")
+        lengths = np.zeros(0, np.int64)
+        if plain:
+            parts = _PARTS(" ".join([words[k] for k in plain]).lower())
+            coded = np.array(self.merger.encode_ordinary(_END.join(parts) + _END), "<u4")
+            spaces = np.flatnonzero(coded == self.space)
+            lengths = np.diff(np.concatenate([[-1], spaces, [len(coded)]])) - 1
+            coded = np.delete(coded, spaces)
+        others = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        self.place.update(zip([keys[k] for k in plain + rest], range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.ids = np.concatenate([self.ids, coded, *others])
+        lengths = np.concatenate([lengths, np.array([len(x) for x in others], np.int64)])
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(lengths)])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, and each text's offsets into them."""
+        w = split_words(texts)
+        if len(self.place) > CACHED_WORDS:
+            self._forget()
+        distinct, first, group = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        missing = [k for k, key in enumerate(keys) if key not in self.place]
+        if missing:
+            raw, at = w.data.tobytes(), first[missing]
+            self._learn([keys[k] for k in missing], [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[group]
+        lengths = self.offset[place + 1] - self.offset[place]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.offset[place] - ends[:-1], lengths)]
+        return ids, ends[w.first]
 
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
@@ -85,15 +133,16 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
         coder, mark = WordIds(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            if batch.num_rows:
+                coded, bounds = coder(batch["text"])
+                raw, bounds = coded.tobytes(), (4 * bounds).tolist()
                 rows: list[tuple] = []
-                for doc, copy, ids in zip(part["doc_id"].to_pylist(), part["copy"].to_pylist(), coder(part["text"].to_pylist()), strict=True):
-                    ids += mark
+                for doc, copy, begin, end in zip(batch["doc_id"].to_pylist(), batch["copy"].to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    ids = raw[begin:end] + mark
                     for k, place in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[place : place + 4 * capacity]
                         rows.append((doc, copy, k, place // 4, len(cut) // 4, zlib.crc32(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
