@@ -11,20 +11,23 @@ linked nodes share at least l of their first n - o + l shingles, for any l that
 both use (with different ones: the smaller). Longer prefixes thus ask for more
 shared tokens. Prefixes are lengthened where candidates are expected:
 
-1. every document posts a prefix with a small l (5 % of n). The posting lists'
-   lengths estimate each node's candidate cost. A node that does not share the
-   l tokens that its smallest partner would need has no link and costs nothing
-   more;
-2. nodes with a cost post their whole sets, so 80 % of them must be shared with
-   other such nodes. Long common passages alone do not reach that;
-3. what is left is posted with an l that grows with the logarithm of the node's
-   mean list length. A pair is verified when it shares the smaller l of both.
+1. every document posts a prefix with a small l (5 % of n), in the order of
+   hashes. A node that does not share with any others the l tokens that its
+   smallest partner would need has no link and costs nothing more;
+2. nodes with a cost post their whole sets (l = o), so 80 % of them must be
+   shared with other such nodes: long common passages alone do not reach that.
+   The answers bring every token's frequency;
+3. what is left is posted from rare to common tokens. The frequencies estimate
+   the cost of going on: l grows by each further token whose list is short. A
+   pair is verified when it shares the smaller l of both; the tokens' places in
+   both orders rule out most others before they are counted.
 
 Verification compares whole sets. Only links that change components matter:
-each node is first verified against the hub (smallest node) that it shares most
-tokens with, which joins a group of copies in linear time. Then just the pairs
-across components are enumerated, by block of the list, and verified; nothing
-is capped.
+each node is first verified against the hub (the node of most common tokens)
+that it shares most with, which joins a group of copies in linear time. What a
+hub's component lacks of the hub's nodes meets all of these in pairs of blocks,
+as exact products of token tables that write links only. Pairs across hubs and
+components are enumerated from the lists and verified; nothing is capped.
 
 Scale: tokens travel packed, 8 bytes each, between batches and hash buckets
 whose number follows the input. In steps 1 and 2 a token is sent once a batch
@@ -44,6 +47,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,7 @@ from pyspark.sql import functions as F
 from .bloom import filter_of, held
 from .components import connected_components
 from .runtime import Scratch, bounded_batches, only
-from .wordhash import _BASES, mix, split_words, window_hashes, word_hashes
+from .wordhash import _BASES, mix, runs, split_words, window_hashes, word_hashes
 
 WORDS = 5
 #: Nodes a hash bucket serves, on average.
@@ -116,8 +120,7 @@ def _pack(tokens: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[tuple
     low = tokens & np.uint64((1 << 48) - 1)
     order = np.lexsort((low, bucket))
     bucket, low, owner = bucket[order], low[order], owner[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+    for a, b in runs(bucket):
         part = low[a:b]
         yield int(bucket[a]), (part & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (part >> np.uint64(32)).astype("<u2").tobytes() + owner[a:b].astype("<u2").tobytes()
 
@@ -218,10 +221,6 @@ def _text_prefixes(buckets: int, words: int):
     return run
 
 
-def _set_array(grams: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-
-
 def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,30 +230,95 @@ def _described(words: int):
     return run
 
 
+_STORED = pa.schema([("batch", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
+SETS_A_BATCH = 400
+
+
 def _chosen_sets(bits: np.ndarray, words: int):
+    """Sets of the documents in the filter, stored in numbered batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _batch_numbers()
         for batch in batches:
             ids = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False)
             part = batch.filter(pa.array(held(bits, ids)))
             grams, first = shingle_sets(part["text"], words)
             nodes = node_ids(grams, first)
-            some = np.flatnonzero(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(np.diff(first)[some]), _set_array(grams, first).take(pa.array(some))], names=["node", "n", "grams"])
+            _, some = np.unique(nodes, return_index=True)
+            some = np.sort(some[nodes[some] != 0])
+            for at in range(0, len(some), SETS_A_BATCH):
+                few = some[at : at + SETS_A_BATCH]
+                place, _ = _heads(first[few], np.diff(first)[few])
+                row = (next(numbers), nodes[few].tobytes(), np.diff(first)[few].astype("<i8").tobytes(), grams[place].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _STORED, strict=True)], schema=_STORED)
 
     return run
 
 
-def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, offsets and tokens of a batch of stored sets."""
-    n = batch["n"].to_numpy()
-    return batch["node"].to_numpy(), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(b"".join(batch["grams"].to_pylist()), np.uint64)
+class _Sets:
+    """A stored batch: nodes, set sizes, and its distinct tokens in the order they are sent."""
+
+    def __init__(self, nodes: bytes, sizes: bytes, grams: bytes, buckets: int) -> None:
+        self.nodes, self.n, self.grams = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(grams, np.uint64)
+        self.distinct, self.group, self.counts = np.unique(self.grams, return_inverse=True, return_counts=True)
+        bucket = (self.distinct >> np.uint64(32)) % np.uint64(buckets)
+        self.sent = np.lexsort((self.distinct & np.uint64((1 << 48) - 1), bucket))
 
 
-def _whole_sets(buckets: int):
+def _token_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, number in zip(batches, _batch_numbers(), strict=False):
-            nodes, first, grams = _sets_of(batch)
-            yield _post(number, nodes, grams, np.repeat(np.arange(len(nodes)), np.diff(first)), buckets)
+        for batch in batches:
+            for number, nodes, sizes, grams in zip(*(batch[c].to_pylist() for c in _STORED.names), strict=True):
+                x = _Sets(nodes, sizes, grams, buckets)
+                rows = [(b, number, blob) for b, blob in _pack(x.distinct, np.minimum(x.counts, 0xFFFF), buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _POSTED_ARROW, strict=True)], schema=_POSTED_ARROW)
+
+    return run
+
+
+def _frequencies(rows: pa.Table) -> pa.Table:
+    """Document frequency of each token of a bucket, told to the batches as a class."""
+    parts = [_unpack(b) for b in rows["blob"].to_pylist()]
+    tokens, counts = np.concatenate([t for t, _ in parts]), np.concatenate([c for _, c in parts])
+    _, group = np.unique(tokens, return_inverse=True)
+    total = np.bincount(group, counts)
+    classes = np.minimum(255, np.floor(CLASSES * np.log2(total))).astype(np.uint8)[group]
+    edges = np.concatenate([[0], np.cumsum([len(t) for t, _ in parts])]).tolist()
+    blobs = [classes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.Table.from_arrays([rows["bucket"], rows["batch"], pa.chunked_array([pa.array(blobs, pa.binary())])], schema=_POSTED_ARROW)
+
+
+#: Classes of frequency for each doubling, and the class up to which a longer prefix is cheap.
+CLASSES = 12
+CHEAP = 5 * CLASSES
+LONGEST = 0.3
+_SMALL = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("l", pa.int64()), ("own", pa.int64()), ("centre", pa.int64()), ("grams", pa.binary())])
+
+
+def _ordered(buckets: int):
+    """Nodes that share 80 % of their tokens, with tokens from rare to common and their l."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = dict(zip(right["bucket"].to_pylist(), right["blob"].to_pylist(), strict=True))
+        told = np.frombuffer(b"".join(answers[b] for b in sorted(answers)), np.uint8)
+        rows: list[tuple] = []
+        for nodes, sizes, grams in zip(*(left[c].to_pylist() for c in _STORED.names[1:]), strict=True):
+            x = _Sets(nodes, sizes, grams, buckets)
+            by_token = np.empty(len(x.distinct), np.uint8)
+            by_token[x.sent] = told
+            classes = by_token[x.group]
+            owner = np.repeat(np.arange(len(x.n)), x.n)
+            shared = np.bincount(owner, classes > 0, len(x.n))
+            centre = np.bincount(owner, classes, len(x.n)) / x.n
+            order = np.lexsort((x.grams, classes, owner))
+            base = np.cumsum(x.n) - x.n + x.n - overlap_needed(x.n) + 1
+            cheap = np.concatenate([[0], np.cumsum(classes[order] <= CHEAP)])
+            # a cheap token that lengthens the prefix also raises what must be shared
+            more = 1 + np.minimum(cheap[np.cumsum(x.n)] - cheap[np.minimum(base, np.cumsum(x.n))], (LONGEST * x.n).astype(np.int64))
+            raw, ends = x.grams[order].tobytes(), (8 * np.cumsum(x.n)).tolist()
+            for k in np.flatnonzero(shared >= overlap_needed(x.n)).tolist():
+                rows.append((int(x.nodes[k]), int(x.n[k]), int(more[k]), int(x.n[k] - shared[k]), int(1000 * centre[k]), raw[ends[k] - 8 * int(x.n[k]) : ends[k]]))
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SMALL, strict=True)], schema=_SMALL) if rows else _SMALL.empty_table()
 
     return run
 
@@ -262,90 +326,140 @@ def _whole_sets(buckets: int):
 _LISTED = "bucket long, blob binary"
 
 
-def _final_prefixes(buckets: int, with_component: bool):
-    """Postings of nodes with their adaptive l: tokens, and the table of node, n, l (and component)."""
+def _final_prefixes(buckets: int, grouped: bool):
+    """Postings of nodes by bucket: token, owner, place in the owner's order; and the owners' table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, first, grams = _sets_of(batch)
-            n, more = np.diff(first), batch["l"].to_numpy()
-            component = batch["component"].to_numpy() if with_component else nodes
-            place, owner = _heads(first[:-1], np.minimum(n, n - overlap_needed(n) + more))
             out: list[tuple[int, bytes]] = []
-            for bucket, blob in _pack(grams[place], owner, buckets):
-                tokens, own = _unpack(blob)
-                used, small = np.unique(own, return_inverse=True)
-                head = np.stack([nodes[used], component[used], n[used].astype(np.int64) << 32 | more[used]]).astype("<i8").tobytes()
-                out.append((bucket, len(used).to_bytes(4, "little") + head + tokens.astype("<u8").tobytes() + small.astype("<u2").tobytes()))
+            if batch.num_rows:
+                nodes, n, more, own, centre = (batch[c].to_numpy() for c in ("node", "n", "l", "own", "centre"))
+                grams = np.frombuffer(b"".join(batch["grams"].to_pylist()), np.uint64)
+                component, hub = (batch[c].to_numpy() if grouped else nodes for c in ("component", "hub"))
+                first = np.cumsum(n) - n
+                place, owner = _heads(first, np.minimum(n, n - overlap_needed(n) + more))
+                token, rank = grams[place], place - first[owner]
+                bucket = ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for a, b in runs(bucket[order]):
+                    at = order[a:b]
+                    used, small = np.unique(owner[at], return_inverse=True)
+                    head = np.stack([nodes[used], component[used], n[used] << 32 | more[used], centre[used] << 32 | own[used], hub[used]]).astype("<i8").tobytes()
+                    out.append((int(bucket[at[0]]), len(used).to_bytes(4, "little") + head + token[at].astype("<u8").tobytes() + rank[at].astype("<u4").tobytes() + small.astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
-def _lists(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """All postings of a bucket by token, then node: token, node, component, n, l; lists of two or more."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(4)]
+class _Lists(NamedTuple):
+    """Postings of a bucket by token, the likeliest original first."""
+
+    token: np.ndarray
+    node: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    more: np.ndarray
+    hub: np.ndarray
+    own: np.ndarray  # tokens that only the node has; they come first in its order
+    rank: np.ndarray  # place of the token in its node's order
+    start: np.ndarray  # where each list begins
+
+
+def _lists(rows: pa.Table) -> _Lists:
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in rows["blob"].to_pylist():
         used = int.from_bytes(blob[:4], "little")
-        head = np.frombuffer(blob, "<i8", 3 * used, 4).reshape(3, used)
-        m = (len(blob) - 4 - 24 * used) // 10
-        own = np.frombuffer(blob, "<u2", m, 4 + 24 * used + 8 * m)
-        columns[0].append(np.frombuffer(blob, "<u8", m, 4 + 24 * used))
-        for k in range(3):
+        head = np.frombuffer(blob, "<i8", 5 * used, 4).reshape(5, used)
+        at = 4 + 40 * used
+        m = (len(blob) - at) // 14
+        own = np.frombuffer(blob, "<u2", m, at + 12 * m)
+        columns[0].append(np.frombuffer(blob, "<u8", m, at))
+        columns[6].append(np.frombuffer(blob, "<u4", m, at + 8 * m).astype(np.int64))
+        for k in range(5):
             columns[k + 1].append(head[k][own])
-    token, node, component, sizes = (np.concatenate(c) for c in columns)
-    order = np.lexsort((node, token))
-    token, node, component, sizes = token[order], node[order], component[order], sizes[order]
+    token, node, component, sizes, centre, hub, rank = (np.concatenate(c) for c in columns)
+    order = np.lexsort((node, -(centre >> 32), token))
+    token, node = token[order], node[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # a repeated row posts its node once
-    token, node, component, sizes = token[fresh], node[fresh], component[fresh], sizes[fresh]
-    return token, node, component, sizes >> 32, sizes & 0xFFFFFFFF
+    order, token, node = order[fresh], token[fresh], node[fresh]
+    sizes = sizes[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    return _Lists(token, node, component[order], sizes >> 32, sizes & 0xFFFFFFFF, hub[order], centre[order] & 0xFFFFFFFF, rank[order], start)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("least", pa.int64())])
 
 
-def _pair_table(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> pa.Table:
+def _pair_table(a: np.ndarray, b: np.ndarray, least: np.ndarray, times: np.ndarray | None = None) -> pa.Table:
+    """Distinct pairs with how often they came, and the l that they need."""
     if not len(a):
         return _PAIRS.empty_table()
     order = np.lexsort((b, a))
     a, b, least = a[order], b[order], least[order]
     start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return pa.Table.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(np.diff([*start, len(a)])), pa.array(least[start])], schema=_PAIRS)
+    shared = np.diff([*start, len(a)]) if times is None else np.add.reduceat(times[order], start)
+    return pa.Table.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.array(shared.astype(np.int64)), pa.array(least[start])], schema=_PAIRS)
 
 
-def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n, m) >= 80 * np.maximum(n, m)
+def _may_link(x: _Lists, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether two holders of a token can link, as far as sizes and its places tell.
+
+    Links need an overlap of t = 4/9 of both sizes. Tokens before the place can
+    add no more than the smaller place less the node's own tokens, those after
+    it no more than the smaller rest. And with l tokens to share, the smaller set's must be among its first
+    n - ceil(8 n / 9) + l and the larger set's among its first n - o + l.
+    """
+    n, m, i, j = x.n[p], x.n[q], x.rank[p], x.rank[q]
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    before = np.minimum(np.maximum(i - x.own[p], 0), np.maximum(j - x.own[q], 0))
+    out = (100 * low >= 80 * high) & (9 * (before + np.minimum(n - i, m - j)) >= 4 * (n + m))
+    least = np.minimum(x.more[p], x.more[q])
+    swap = n > m
+    small, large = np.where(swap, j, i), np.where(swap, i, j)
+    return out & (small < low - (8 * low + 8) // 9 + least) & (large < high - overlap_needed(high) + least)
 
 
 def _hub_pairs(rows: pa.Table) -> pa.Table:
-    """Each node with the smallest node of each of its lists."""
-    token, node, _, n, more = _lists(rows)
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-    hub = np.repeat(start, np.diff([*start, len(token)]))
-    pair = np.flatnonzero((hub != np.arange(len(token))) & _sizes_fit(n, n[hub]))
-    return _pair_table(node[hub[pair]], node[pair], np.minimum(more[pair], more[hub[pair]]))
+    """Each node with the first node of each of its lists, whether the two can link or not."""
+    x = _lists(rows)
+    hub = np.repeat(x.start, np.diff([*x.start, len(x.token)]))
+    pair = np.flatnonzero(hub != np.arange(len(hub)))
+    return _pair_table(x.node[hub[pair]], x.node[pair], np.minimum(x.more[pair], x.more[hub[pair]]))
+
+
+#: Pairs that a task holds before it adds them up.
+PAIRS_AT_ONCE = 2_000_000
 
 
 def _cross_pairs(rows: pa.Table) -> pa.Table:
-    """All pairs of a list whose components differ and whose sizes allow a link."""
-    token, node, component, n, more = _lists(rows)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
-    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(token)], strict=True):
-        own = component[a:b]
+    """Pairs of a list that may link, of different components and different hubs."""
+    x = _lists(rows)
+    total, waiting, size = _PAIRS.empty_table(), [], 0
+
+    def settle() -> pa.Table:
+        a, b, least = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        new = _pair_table(a, b, least)
+        both = pa.concat_tables([total, new])
+        return _pair_table(both["a"].to_numpy(), both["b"].to_numpy(), both["least"].to_numpy(), both["shared"].to_numpy())
+
+    for a, b in runs(x.token):
+        own = x.component[a:b]
         if b - a < 2 or (own == own[0]).all():
             continue
-        order = a + np.lexsort((n[a:b], own))
-        edges = np.flatnonzero(np.diff(component[order])) + 1
-        for part in np.split(order, edges)[:-1]:  # a component against all that come after it
-            rest = order[np.searchsorted(component[order], component[part[0]], "right") :]
-            for low in range(0, len(part), 512):
-                x, y = np.repeat(part[low : low + 512], len(rest)), np.tile(rest, len(part[low : low + 512]))
-                fit = _sizes_fit(n[x], n[y])
-                x, y = x[fit], y[fit]
-                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(more[x], more[y])))
-    return _pair_table(*(np.concatenate(c) for c in zip(*out, strict=True))) if out else _PAIRS.empty_table()
+        order = a + np.lexsort((x.n[a:b], own))
+        edges = np.flatnonzero(np.diff(x.component[order])) + 1
+        for part, after in zip(np.split(order, edges)[:-1], edges.tolist(), strict=True):  # a component against all that come after it
+            rest = order[after:]
+            for low in range(0, len(part), 256):
+                some = part[low : low + 256]
+                i, j = np.nonzero(_may_link(x, some[:, None], rest[None, :]) & (x.hub[some][:, None] != x.hub[rest][None, :]))
+                p, q = some[i], rest[j]
+                waiting.append((np.minimum(x.node[p], x.node[q]), np.maximum(x.node[p], x.node[q]), np.minimum(x.more[p], x.more[q])))
+                size += len(p)
+                if size > PAIRS_AT_ONCE:
+                    total, waiting, size = settle(), [], 0
+    return settle() if waiting else total
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +481,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "b").join(right, "a").mapInArrow(_similar, "a long, b long").distinct()
 
 
+#: Nodes of a block of a hub's group, and tokens that a product of two blocks takes at once.
+BLOCK_NODES, BLOCK_TOKENS = 1024, 4096
+
+
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two blocks of one hub's group, by products of their token tables."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not left.num_rows or not right.num_rows:
+        return schema.empty_table()
+    sides = [[np.frombuffer(b"".join(t["grams"].to_pylist()), np.uint64), t["n"].to_numpy(), t["node"].to_numpy(), t["component"].to_numpy()] for t in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    same = np.zeros((left.num_rows, right.num_rows), np.float32)
+    places = []
+    for grams, n, _, _ in sides:
+        owner, at = np.repeat(np.arange(len(n)), n), np.searchsorted(common, grams)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == grams[hit]
+        order = np.argsort(at[hit], kind="stable")
+        places.append((owner[hit][order], at[hit][order]))
+    for low in range(0, len(common), BLOCK_TOKENS):
+        tables = []
+        for (owner, at), (_, n, _, _) in zip(places, sides, strict=True):
+            a, b = np.searchsorted(at, [low, low + BLOCK_TOKENS])
+            table = np.zeros((len(n), min(BLOCK_TOKENS, len(common) - low)), np.float32)
+            table[owner[a:b], at[a:b] - low] = 1
+            tables.append(table)
+        same += tables[0] @ tables[1].T  # whole numbers below 2 ** 24 are exact
+    (_, n, x, cx), (_, m, y, cy) = sides
+    i, j = np.nonzero((100 * same >= 80 * (n[:, None] + m[None, :] - same)) & (cx[:, None] != cy[None, :]))
+    return pa.Table.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j]))], schema=schema)
+
+
+def _group_links(grouped: DataFrame) -> DataFrame:
+    """Links inside each hub's group of the nodes that the hub's component lacks.
+
+    They meet all nodes of the group in pairs of blocks, so that no task holds
+    more than two blocks and no pair is written but a link.
+    """
+    main = grouped.select(F.col("node").alias("h"), F.col("component").alias("main"))
+    sizes = grouped.groupBy(F.col("hub").alias("h")).agg(F.count("*").alias("size"))
+    rows = grouped.join(main, F.col("hub") == F.col("h"), "left").drop("h").withColumn("odd", ~F.col("component").eqNullSafe(F.col("main")))
+    some = rows.where("odd").select(F.col("hub").alias("h")).distinct().join(sizes.where("size > 1"), "h")
+    rows = rows.join(some, F.col("hub") == F.col("h")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_NODES).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("hub", "node", "n", "component", "grams", "odd", "blocks", "own")
+    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("odd").withColumn("i", F.col("own")).withColumn("j", spread)
+    right = rows.withColumn("j", F.col("own")).withColumn("i", spread)
+    columns = ["hub", "i", "j", "node", "n", "component", "grams"]
+    left = left.select(columns)
+    right = right.select([F.col(c).alias(c) for c in columns])  # fresh columns: both sides come from one table
+    keys = ["hub", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_links, "a long, b long").distinct()
+
+
 def _buckets(nodes: int) -> int:
     return max(16, math.ceil(nodes / NODES_A_BUCKET))
 
@@ -389,33 +557,31 @@ def linked_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     # 2: whole sets of those with a cost
     bits = filter_of(first.select(F.coalesce("doc_id", F.lit(0)).alias("key")))
-    sets = rows.mapInArrow(_chosen_sets(bits, words), "node long, n long, grams binary")
-    sets = scratch.keep(sets.join(first.select("node"), "node", "left_semi").dropDuplicates(["node"]) if _has_repeats(described) else sets, "sets")
-    many = sets.count()
-    counted = _counts(sets.mapInArrow(_whole_sets(_buckets(many)), _POSTED))
-    # copies that the filter let through twice post the same node twice
-    counted = counted.groupBy("node").agg(F.max("shared").alias("shared"), F.max("cost").alias("cost"))
-    second = sets.groupBy("node").agg(F.first("n").alias("n")).join(counted, "node").where(F.col("shared") >= F.floor((4 * F.col("n") + 4) / 5))
-    # l from the mean length of the node's lists: 5 % of n, and 5 % more for every doubling
-    share = F.least(F.lit(0.4), 0.05 * (1 + F.log2(1 + F.col("cost") / F.greatest("shared", F.lit(1)))))
-    second = scratch.keep(second.select("node", (1 + F.floor(share * F.col("n"))).cast("long").alias("l")), "second")
+    sets = scratch.keep(rows.mapInArrow(_chosen_sets(bits, words), "batch long, nodes binary, sizes binary, grams binary"), "sets")
+    buckets = _buckets(first.count())
+    told = sets.mapInArrow(_token_counts(buckets), _POSTED).groupBy("bucket").applyInArrow(_frequencies, _POSTED)
+    ordered = sets.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_ordered(buckets), "node long, n long, l long, own long, centre long, grams binary")
+    small = scratch.keep(ordered, "small")
+    scratch.drop("sets")
 
     # 3: candidates by hub, then across components
-    small = scratch.keep(sets.join(second, "node"), "small")
-    left = second.count()
-    listed = small.mapInArrow(_final_prefixes(_buckets(left), False), _LISTED)
+    buckets = _buckets(small.count())
+    listed = small.mapInArrow(_final_prefixes(buckets, False), _LISTED)
     hubs = listed.groupBy("bucket").applyInArrow(lambda t: _hub_pairs(t), "a long, b long, shared long, least long")
     hubs = hubs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    best = hubs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    best = scratch.keep(hubs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), "best")
     links = scratch.keep(_verified(best, small), "links1")
     component = scratch.keep(connected_components(links, scratch, "c1"), "component1")
 
-    grouped = small.join(component.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    listed = grouped.mapInArrow(_final_prefixes(_buckets(left), True), _LISTED)
+    grouped = small.join(component.select(F.col("id").alias("node"), "component"), "node", "left").join(best.select(F.col("b").alias("node"), F.col("a").alias("hub")), "node", "left")
+    grouped = scratch.keep(grouped.withColumn("component", F.coalesce("component", "node")).withColumn("hub", F.coalesce("hub", "node")), "grouped")
+    scratch.drop("small")
+    inside = scratch.keep(_group_links(grouped), "links3")
+    listed = grouped.mapInArrow(_final_prefixes(buckets, True), _LISTED)
     cross = listed.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t), "a long, b long, shared long, least long")
     cross = cross.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("least").alias("least")).where("shared >= least")
-    links2 = scratch.keep(_verified(cross, small), "links2")
-    component = scratch.keep(connected_components(links.union(links2), scratch, "c2"), "component2")
+    links2 = scratch.keep(_verified(cross, grouped), "links2")
+    component = scratch.keep(connected_components(links.union(inside).union(links2), scratch, "c2"), "component2")
 
     # back to documents: the smallest doc_id of each component
     named = described.join(component.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
@@ -427,11 +593,6 @@ def linked_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return linked.select(columns).union(alone.select(columns))
 
 
-def _has_repeats(described: DataFrame) -> bool:
-    """Whether a doc_id stands in more than one row."""
-    return described.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-
-
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows of docs whose doc_id is the smallest of its component; texts without words all stay.
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .bloom import filter_of, held
 from .runtime import Scratch, bounded_batches, only
-from .wordhash import Words, split_words, window_hashes, word_hashes
+from .wordhash import Words, runs, split_words, window_hashes, word_hashes
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -82,10 +82,10 @@ def _probes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in _parts(batches):
             w = split_words(part["text"])
-            at, runs = window_hashes(word_hashes(w), w.first, BLOCK)
+            at, hashes = window_hashes(word_hashes(w), w.first, BLOCK)
             doc = np.searchsorted(w.first, at, "right") - 1
             anchor = (at - w.first[doc]) % BLOCK == 0
-            key = runs >> np.uint64(32 - bits)
+            key = hashes >> np.uint64(32 - bits)
             order = np.lexsort((doc, key))
             key, doc, anchor = key[order], doc[order], anchor[order]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -100,8 +100,7 @@ def _probes(bits: int):
             distinct, owner = key[start], doc[start].astype("<u1")
             state = anchored.astype("<u1") | shared.astype("<u1") << 1
             span = (distinct >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(span, prepend=-1)).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(span)], strict=True):
+            for a, b in runs(span):
                 flags = np.concatenate([np.packbits(state[a:b] & 1), np.packbits(state[a:b] >> 1)])
                 rows.append((int(span[a]), number, distinct[a:b].astype("<u4").tobytes() + owner[a:b].tobytes() + flags.tobytes()))
             yield _rows(_SENT, rows)
@@ -130,10 +129,10 @@ def _meet(key: tuple, rows: pa.Table) -> pa.Table:
     if span < 0:
         return rows.rename_columns(["kind", "batch", "blob"]).cast(_TOLD)
     parts = [_probe_blob(b) for b in rows["blob"].to_pylist()]
-    runs = np.concatenate([p[0] for p in parts])
+    keys = np.concatenate([p[0] for p in parts])
     owner, anchored, inside = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    _, group, counts = np.unique(runs, return_inverse=True, return_counts=True)
+    _, group, counts = np.unique(keys, return_inverse=True, return_counts=True)
     hit = (counts > 1) & (np.bincount(group, anchored, len(counts)) > 0)
     told = np.flatnonzero(hit[group] & ~inside)
     edges = np.searchsorted(of[told], np.arange(len(parts) + 1)).tolist()
@@ -141,7 +140,7 @@ def _meet(key: tuple, rows: pa.Table) -> pa.Table:
     for batch, a, b in zip(rows["batch"].to_pylist(), edges[:-1], edges[1:], strict=True):
         if b > a:
             at = told[a:b]
-            out.append((span, batch, owner[at].tobytes() + runs[at].tobytes()))
+            out.append((span, batch, owner[at].tobytes() + keys[at].tobytes()))
     return pa.Table.from_batches([_rows(_TOLD, out)])
 
 
@@ -150,22 +149,21 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("hits", pa.binary())])
 
 def _hits_of(rows: pa.Table) -> pa.Table:
     """Hit runs of every document of a batch that has any."""
-    owners, runs, table = [], [], b""
+    owners, found, table = [], [], b""
     for kind, blob in zip(rows["kind"].to_pylist(), rows["blob"].to_pylist(), strict=True):
         if kind < 0:
             size = 4 + int.from_bytes(blob[:4], "little")
             table, n = blob[4:size], (len(blob) - size) // 9
             owners.append(np.frombuffer(blob, np.uint8, n, size))
-            runs.append(np.frombuffer(blob, "<u8", n, size + n))
+            found.append(np.frombuffer(blob, "<u8", n, size + n))
         else:
             n = len(blob) // 5
             owners.append(np.frombuffer(blob, np.uint8, n))
-            runs.append(np.frombuffer(blob, "<u4", n, n).astype(np.uint64) | np.uint64(kind << 32))
-    owner, run, ids = np.concatenate(owners), np.concatenate(runs), np.frombuffer(table, np.int64)
+            found.append(np.frombuffer(blob, "<u4", n, n).astype(np.uint64) | np.uint64(kind << 32))
+    owner, run, ids = np.concatenate(owners), np.concatenate(found), np.frombuffer(table, np.int64)
     order = np.lexsort((run, owner))
     owner, run = owner[order], run[order]
-    cuts = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1)).tolist()
-    out = [(int(ids[owner[a]]), run[a:b].astype("<u8").tobytes()) for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True)]
+    out = [(int(ids[owner[a]]), run[a:b].astype("<u8").tobytes()) for a, b in runs(owner)]
     return pa.Table.from_batches([_rows(_HITS, out)])
 
 
@@ -226,8 +224,8 @@ class _Windows:
         self.texts, self.ids = table["text"].combine_chunks(), table["doc_id"].to_numpy()
         self.words = w = split_words(self.texts)
         hashes = word_hashes(w)
-        at, runs = window_hashes(hashes, w.first, BLOCK)
-        key = runs >> np.uint64(32 - bits)
+        at, blocks = window_hashes(hashes, w.first, BLOCK)
+        key = blocks >> np.uint64(32 - bits)
         near = np.zeros(len(hashes) + WINDOW + 1, np.int64)
         edges = np.searchsorted(at, w.first)
         for k, blob in enumerate(table["hits"].to_pylist()):
@@ -252,10 +250,9 @@ def _digests(bits: int):
         for batch in batches:
             for number, low, body in zip(*(batch[c].to_pylist() for c in ("batch", "low", "body")), strict=True):
                 found, rows = _Windows(body, bits), []
-                cuts = np.flatnonzero(np.diff(found.span, prepend=-1)).tolist()
                 # 7 bytes below the range's bits; with fewer than 8 of these, the lowest bits go
                 cut = (found.distinct << np.uint64(bits) >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-                for a, b in zip(cuts, [*cuts[1:], len(found.span)], strict=True):
+                for a, b in runs(found.span):
                     rows.append((int(found.span[a]), number, low.to_bytes(8, "little", signed=True) + cut[a:b].tobytes()))
                 yield _rows(_SENT, rows)
 

@@ -120,3 +120,11 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int, seed: int =
     last = np.repeat(first[1:], np.diff(first))  # end of the text of each word
     at = np.flatnonzero(np.arange(n - size + 1) + size <= last[: n - size + 1])
     return at, mix(acc[at])
+
+
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the stretches of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=True))
