@@ -76,4 +76,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: DuckDB SQL of the queries that SQL can express, from the plain definitions.
+ORACLE: dict[str, str] = {
+    "op1_warc_archive": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last, sha1(h) AS d FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes, url,
+          array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+          CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g
+    """,
+    "op3_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        r(id, c) AS (SELECT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+        m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = w.doc_id
+    """,
+    "op8_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+        x AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM x),
+        f AS (SELECT g, min(doc_id) AS d FROM g GROUP BY g),
+        c AS (SELECT DISTINCT g.doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (g) WHERE f.d < g.doc_id),
+        r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+        SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+          sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [y FOR y, k IN w IF NOT list_contains(gone, k)] END, ' ')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+    """,
+}
