@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .wordhash import _BASES, Words, _ranges, mix, split_words, window_hashes, word_hashes
+from .wordhash import _BASES, Words, _ranges, mix, split_words, text_bytes, window_hashes, word_hashes
 
 #: Counts of the quality rules, in this order.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -70,8 +70,21 @@ def line_bounds(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, doc
 
 
+#: Bytes of texts that are counted at a time (one longer text is taken whole).
+SPAN = 1 << 20
+
+
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     """All counts of every text, by name."""
+    bounds, parts, at = text_bytes(texts)[1], [], 0
+    while at < len(texts) or not parts:
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SPAN, "right")) - 1)
+        parts.append(_statistics(texts.slice(at, stop - at)))
+        at = stop
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
+def _statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     w = split_words(texts)
     n = len(w.bounds) - 1
     out: dict[str, np.ndarray] = {"n_words": np.diff(w.first).astype(np.int64)}
@@ -91,7 +104,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     last = np.where(end > start, w.data[np.maximum(end - 1, 0)] if len(w.data) else 0, 0)
     out["n_bare_lines"] = _count(doc[has_word & ~np.isin(last, list(b".!?:;\"'"))], n)
     start, end, doc = start[has_word], end[has_word], doc[has_word]
-    lines = _ranges(w.data.astype(np.uint64) + np.uint64(1), start, end, _BASES[0]) + (end - start).astype(np.uint64)
+    lines = _ranges(w.data, start, end, _BASES[0]) + (end - start).astype(np.uint64)
     _, first, _ = _repeats(_by_doc(mix(lines), doc))
     out["n_dup_lines"] = _count(doc[~first], n)
 

@@ -54,8 +54,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .bloom import filter_of, held
-from .components import connected_components
 from .runtime import Scratch, bounded_batches, only
 from .wordhash import _BASES, mix, runs, split_words, window_hashes, word_hashes
 

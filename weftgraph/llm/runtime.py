@@ -1,68 +1,16 @@
-"""Shared plumbing of the training-data operators: scratch tables and batches."""
+"""Shared plumbing of the training-data operators: batches and columns."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Only where a session names none (local tests) a folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage between stages.
-
-    A lost executor costs only the tasks it ran: every later stage rereads the
-    finished table. Tables are dropped as soon as nothing needs them, the rest
-    when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, purpose: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as reread from the shared folder."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            fs, at = self._fs(f"{self.root}/{name}")
-            fs.delete(at, True)
-
-    def close(self) -> None:
-        try:
-            fs, at = self._fs(self.root)
-            fs.delete(at, True)
-        except Exception:  # the session may be gone already; nothing is left to free then
-            pass
+__all__ = ["Scratch", "bounded_batches", "only", "table"]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) -> None:
     """Bound the Arrow batches that Python workers get, by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

@@ -90,17 +90,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair, free of its place."""
-    power, inverse = _powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return (total[end] - total[start]) * inverse[start]
+#: Bytes that are hashed at a time; the tables of powers stay in the cache.
+SPAN = 1 << 19
+
+
+def _ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hash of data[start:end] for each pair, free of its place.
+
+    Starts and ends ascend. Bytes are taken a stretch at a time, so memory does
+    not grow with the batch.
+    """
+    out, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):
+        low = int(start[at])
+        stop = max(at + 1, int(np.searchsorted(end, low + SPAN, "right")))
+        values = data[low : int(end[stop - 1])].astype(np.uint64) + np.uint64(1)
+        power, inverse = _powers(len(values) + 1, base)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * power[: len(values)], out=total[1:])
+        out[at:stop] = (total[end[at:stop] - low] - total[start[at:stop] - low]) * inverse[start[at:stop] - low]
+        at = stop
+    return out
 
 
 def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word (seed 0 or 1: two independent families)."""
-    raw = _ranges(w.data.astype(np.uint64) + np.uint64(1), w.start, w.end, _BASES[seed])
+    raw = _ranges(w.data, w.start, w.end, _BASES[seed])
     return mix(raw + (w.end - w.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
