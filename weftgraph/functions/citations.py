@@ -78,3 +78,12 @@ def rewrite_citations(answers: DataFrame, sources: DataFrame, key: str = "id", t
 def tidy(text: Column) -> Column:
     """Drop local ids like (E1) and collapse runs of white space."""
     return F.regexp_replace(F.regexp_replace(text, LOCAL, ""), r"\s{2,}", " ")
+
+
+def global_ids(text: Column, names: Column) -> Column:
+    """Local ids inside [Data: …] marks replaced by what names maps them to, the longest first."""
+    keys = F.array_sort(F.map_keys(names), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    mark = r"\[Data:[^\]]*\]"
+    one = lambda m: F.aggregate(keys, m, lambda t, k: F.regexp_replace(t, F.concat(F.lit(r"\b"), k, F.lit(r"\b")), F.regexp_replace(names[k], r"([\\$])", r"\\$1")))
+    marks, gaps = F.regexp_extract_all(text, F.lit(mark), F.lit(0)), F.split(text, mark, -1)
+    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(marks, lambda m, i: F.concat(one(m), F.get(gaps, i + 1))), ""))
