@@ -120,3 +120,13 @@ def test_cut_texts_keep_rows_and_columns(spark):
     docs = documents(spark, ["new start here " + BASE, BASE, None, "nothing to cut"])
     out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
     assert out == {0: "new start here " + BASE, 1: "", 2: None, 3: "nothing to cut"}
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    texts, ids = [BASE, BASE, BASE, "", None, "", BASE + " x", "single text of another kind here now"], [None, 4, 4, 4, None, 4, 4, None]
+    kept = ngram_join.keep_one_of_each(documents(spark, texts, ids, extra=True))
+    assert sorted(((r.doc_id or -1), r.text or "-") for r in kept.collect())[:1] == [(-1, "-")] and kept.count() == 5
+    mine = [r for r in kept.collect() if r.text and "quick" in r.text]
+    assert len(mine) == 1 and mine[0].doc_id == 4
+    cut = substring_dedup.remove_repeats(documents(spark, texts, ids))
+    assert sorted(((r.doc_id or -1), r.text or "") for r in cut.collect()) == sorted([(-1, ""), (4, BASE), (4, BASE), (4, ""), (-1, ""), (4, ""), (4, BASE + " x"), (-1, texts[-1])])

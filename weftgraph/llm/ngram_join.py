@@ -37,7 +37,7 @@ false hits are harmless, being more nodes to try. Token hashes are 64 bits wide
 within a set and 48 in candidate search, where a collision only adds work.
 
 Defined results: null or wordless texts have size 0 and are linked with nothing
-(component: the smallest doc_id of... themselves). Rows that repeat come out
+(their component is their own doc_id). Rows that repeat come out
 as often; rows that share a doc_id but not the text are documents of their own
 that report the same id. A null doc_id is ignored in minima. Other columns are
 ignored. An empty table gives no rows.
@@ -51,7 +51,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -225,7 +225,7 @@ def _described(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, first = shingle_sets(batch["text"], words)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(first)), pa.array(node_ids(grams, first))], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(np.diff(first)), pa.array(node_ids(grams, first))], names=["doc_id", "mark", "n", "node"])
 
     return run
 
@@ -539,13 +539,18 @@ def _buckets(nodes: int) -> int:
     return max(16, math.ceil(nodes / NODES_A_BUCKET))
 
 
-def linked_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node and component_id for every row of docs."""
+def _mark(text: str) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _components_of(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, mark, n, node and component (null without words) for every row, stored."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "ngram")
     rows = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = scratch.keep(rows.mapInArrow(_described(words), "doc_id long, n long, node long"), "described")
+    described = scratch.keep(rows.withColumn("mark", _mark("text")).mapInArrow(_described(words), "doc_id long, mark long, n long, node long"), "described")
     total = described.count()
 
     # 1: short prefixes of all documents
@@ -583,20 +588,33 @@ def linked_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     links2 = scratch.keep(_verified(cross, grouped), "links2")
     component = scratch.keep(connected_components(links.union(inside).union(links2), scratch, "c2"), "component2")
 
-    # back to documents: the smallest doc_id of each component
-    named = described.join(component.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
-    named = scratch.keep(named, "named")
-    smallest_id = named.where("node <> 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = named.where("node <> 0").join(smallest_id, "component")
-    alone = named.where("node = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "node", "component_id"]
+    named = described.join(component.select(F.col("id").alias("node"), "component"), "node", "left")
+    return scratch.keep(named.select("doc_id", "mark", "n", "node", F.when(F.col("node") != 0, F.coalesce("component", "node")).alias("component")), "named")
+
+
+def linked_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, node and component_id for every row of docs."""
+    named = _components_of(docs, words)
+    smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = named.where("component is not null").join(smallest, "component")
+    alone = named.where("component is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "node", "component_id"]
     return linked.select(columns).union(alone.select(columns))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows of docs whose doc_id is the smallest of its component; texts without words all stay.
+    """One row of docs for each component, that with the smallest doc_id (null last); texts without words all stay.
 
-    Needs a doc_id that is unique and not null.
+    Of rows that share that doc_id one stays, by the smallest hash of the text.
     """
-    chosen = linked_documents(docs, words).where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(chosen, docs["doc_id"] == F.col("__kept"), "left_semi")
+    named = _components_of(docs, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")
+    chosen = named.where("component is not null").groupBy("component").agg(first)
+    blank = named.where("component is null").select("doc_id", "mark", F.lit(None).cast("long").alias("component"))
+    kept = chosen.select("x.doc_id", "x.mark", "component").union(blank).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("component").alias("__component")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_mark("text") == F.col("__mark"))
+    out = docs.join(kept, same)
+    if named.where("component is not null").groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
+        # equal rows of one doc_id: all but one go, and blank texts stay as they are
+        out = out.where("__component is null").union(out.where("__component is not null").dropDuplicates(["__component"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

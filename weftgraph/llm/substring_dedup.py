@@ -346,7 +346,7 @@ def _removals(docs: DataFrame, with_text: bool) -> tuple[DataFrame, Scratch]:
     earlier = digests.groupBy("range").applyInArrow(_earlier, "kind long, batch long, blob binary")
     result = "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string, kept binary"
     out = stored.groupBy("batch").cogroup(earlier.groupBy("batch")).applyInArrow(_finish(bits, with_text), result)
-    return scratch.keep(out.dropDuplicates(["doc_id", "whole_sha256"]) if not with_text else out, "removals"), scratch
+    return scratch.keep(out.dropDuplicates(["doc_id", "whole_sha256"]), "removals"), scratch
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -362,10 +362,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated words taken out of text; rows and other columns stay.
 
-    A text that loses words has the rest joined by single spaces. Needs a
-    doc_id that is unique and not null.
+    A text that loses words has the rest joined by single spaces.
     """
     changed, _ = _removals(docs, True)
-    kept = changed.select(F.col("doc_id").alias("__id"), F.decode("kept", "UTF-8").alias("__kept"))
-    joined = docs.join(kept, docs["doc_id"] == F.col("__id"), "left")
+    kept = changed.select(F.col("doc_id").alias("__id"), F.col("whole_sha256").alias("__whole"), F.decode("kept", "UTF-8").alias("__kept"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # rows of one doc_id are told apart by their words
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id")) & (F.sha2(F.array_join(words, " "), 256) == F.col("__whole"))
+    joined = docs.join(kept, same, "left")
     return joined.withColumn("text", F.coalesce("__kept", "text")).select(*[F.col(f"`{c}`") for c in docs.columns])
