@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ids import chunk_key
+from .ordered import running_total
 
 SEPARATOR = "\n\n"
 
@@ -65,14 +66,6 @@ def overlapping_segments(chunks: DataFrame, segments: DataFrame, key: str) -> Da
 
 
 def batch_numbers(rows: DataFrame, order: list[Column], size: int, name: str = "batch") -> DataFrame:
-    """Number rows in a total order and cut them into batches of a fixed size.
-
-    Counts per partition come first, so no single task sees all rows.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    ranged = ranged.withColumn("__k", local)
-    sizes = ranged.groupBy("__p").count()
-    before = sizes.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    numbered = ranged.join(F.broadcast(before), "__p")  # one row per shuffle partition
-    return numbered.withColumn("position", F.col("__b") + F.col("__k")).withColumn(name, F.floor(F.col("position") / size)).drop("__p", "__k", "__b")
+    """Number rows in a total order and cut them into batches of a fixed size."""
+    numbered = running_total(rows, order, F.lit(1), "position").withColumn("position", F.col("position") - 1)
+    return numbered.withColumn(name, F.floor(F.col("position") / size))

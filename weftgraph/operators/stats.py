@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import running_total
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -56,12 +57,11 @@ def histogram(rows: DataFrame, value: str, bins: int = 50) -> DataFrame:
 def empirical_cdf(rows: DataFrame, value: str) -> DataFrame:
     """Share of rows at or below each distinct value.
 
-    Values are counted first, so only distinct ones are put in one order.
+    Values are counted first, so only distinct ones are put in order.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     total = counts.agg(F.sum("n").alias("__t"))
-    return counts.withColumn("__r", run).crossJoin(F.broadcast(total)).select(value, "n", (F.col("__r") / F.col("__t")).alias("cdf"))
+    return running_total(counts, [F.col(value).asc()], F.col("n"), "__r").crossJoin(F.broadcast(total)).select(value, "n", (F.col("__r") / F.col("__t")).alias("cdf"))
 
 
 def pair_matrix(edges: DataFrame, kinds: DataFrame) -> DataFrame:
