@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import communities, components, context, importance, stats, vector, walks
+from ..operators import communities, components, context, detection, importance, repair, stats, vector, walks
 from ..scratch import Scratch
+from . import providers
 from .adapters import SIMPLE_EDGES_SQL, load, simple_edges, supply_edges, supply_nodes, vectors
 from .catalogue import query
 from .vector_queries import QUESTION
@@ -233,3 +234,43 @@ def n5_negative_edges(spark, sf_dir):
 def j12_unlinked(spark, sf_dir):
     heavy = simple_edges(spark, sf_dir).where("weight >= 100").select(F.col("dst").alias("id"))
     return supply_nodes(spark, sf_dir).where("type <> 'supplier'").select("id").join(heavy, "id", "left_anti")
+
+
+@query("g23_method_comparison")
+def g23_method_comparison(spark, sf_dir):
+    edges = _heavy(spark, sf_dir)
+    rows = detection.comparison(edges, stats.degrees(edges).select("id"), ["label_propagation", "leiden"])
+    return rows.withColumn("modularity", F.round("modularity", 8))
+
+
+@query("g28_importance_job")
+def g28_importance_job(spark, sf_dir):
+    edges = _heavy(spark, sf_dir).select("src", "dst", "weight")
+    scored = detection.partitioned(edges, stats.degrees(edges).select("id"), "label_propagation", 0.6)[1]
+    return scored.select("src", "dst", F.round("composite", 8).alias("composite"))
+
+
+@query("g14_density_communities")
+def g14_density_communities(spark, sf_dir):
+    return detection.density_communities(vectors(spark, sf_dir), 5, 0.3)
+
+
+@query("g21_node_measures")
+def g21_node_measures(spark, sf_dir):
+    edges = _heavy(spark, sf_dir)
+    labels = components.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(spark, "g21"), "g21").select("id", F.col("component").alias("community"))
+    return detection.node_measures(edges, labels, 2000).select("id", F.round("betweenness", 8).alias("betweenness"), F.round("closeness", 8).alias("closeness"))
+
+
+@query("m1_extraction")
+def m1_extraction(spark, sf_dir):
+    """Triples of the benchmark's texts by the offline provider, repaired and loaded."""
+    units = load(spark, sf_dir, "benchmark").select(F.concat(F.lit("chunk-"), "item_id").alias("id"), "text")
+    nodes, edges = repair.load_graph(providers.extracted(units, providers.Stub))
+    return nodes.select("id", "name").join(stats.degrees(edges).select("id", "degree"), "id", "left").select("id", "name", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@query("x4_embedded_units", "SELECT item_id, 1.0::DOUBLE AS size FROM benchmark")
+def x4_embedded_units(spark, sf_dir):
+    rows = providers.embed_column(load(spark, sf_dir, "benchmark"), "text", "vector", providers.Stub)
+    return rows.select("item_id", F.round(vector.dot(F.col("vector"), F.col("vector")), 6).alias("size"))
