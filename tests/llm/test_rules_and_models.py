@@ -215,3 +215,58 @@ def test_small_payloads_may_stay_responses_and_damage_is_found(spark):
         warc_archive.read_archive(spark, f"{path}-bad").collect()
     empty = _archive(spark, [], "warc-none")
     assert warc_archive.read_archive(spark, empty).count() == 0
+
+
+def _brute_terms(texts, around, least, theta):
+    """Term spans from the definition, with plain dictionaries."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    clean = lambda w: w.strip(".,;:!?\"'()[]{}<>").lower()
+    near, with_entity, with_pair, with_term = [], {}, {}, {}
+    for k, text in enumerate(texts):
+        spans = _plain_spans(text or "")
+        found = set()
+        for kind, a, b in spans:
+            value = text[a:b].lower() if kind == 0 else ".".join(p.lstrip("0") or "0" for p in text[a:b].split(".")) if kind == 1 else re.sub("[^0-9]", "", text[a:b])
+            left = [m.span() for m in word.finditer(text[:a])][-around:]
+            right = [m.span() for m in word.finditer(text, b)][:around]
+            for s, e in left + right:
+                if clean(text[s:e]) and not any(x < e and s < y for _, x, y in spans):
+                    found.add(((kind, value), clean(text[s:e]), s, e))
+        near.append(found)
+        for c in {f[0] for f in found}:
+            with_entity.setdefault(c, set()).add(k)
+        for c, t in {f[:2] for f in found}:
+            with_pair.setdefault((c, t), set()).add(k)
+        for t in {clean(w) for w in word.findall(text or "")}:
+            with_term.setdefault(t, set()).add(k)
+    n, telling = len(texts), set()
+    for (c, t), docs in with_pair.items():
+        information = math.log(n / len(with_entity[c]))
+        if len(docs) >= least and information > 0 and math.log(n * len(docs) / (len(with_entity[c]) * len(with_term[t]))) >= theta * information - 1e-9:
+            telling.add((c, t))
+    return [sorted({(s, e) for c, t, s, e in found if (c, t) in telling}) for found in near]
+
+
+def test_term_spans_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    people = [f"user{i}@mail.org" for i in range(8)] + ["+1 (499) 555-6503", "10.0.0.7"]
+    tells = {p: [f"tell{i}{j}" for j in range(3)] for i, p in enumerate(people)}
+    common = [f"word{i}" for i in range(40)]
+    texts = []
+    for _ in range(150):
+        w = [rng.choice(common) for _ in range(rng.randrange(5, 40))]
+        if rng.random() < 0.5:
+            p = rng.choice(people)
+            at = rng.randrange(len(w))
+            w[at:at] = [rng.choice(tells[p]) + rng.choice(["", ",", "."]), p, rng.choice(tells[p]).upper()]
+        if rng.random() < 0.1:
+            w.append(rng.choice(tells[people[0]]))
+        texts.append(rng.choice([" ", "\n", "  "]).join(w))
+    texts += odd_texts()
+    expected = _brute_terms(texts, pii_disclosure.AROUND, pii_disclosure.LEAST_TOGETHER, pii_disclosure.THETA)
+    assert sum(map(len, expected)) > 20
+    for r in pii_disclosure.find(documents(spark, texts)).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert sorted((int(a), int(b)) for kind, a, b in spans if kind == "term") == expected[r.doc_id]
