@@ -8,7 +8,7 @@ when an executor is lost. No component is ever gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -30,10 +30,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, most_rou
         # small star: smaller neighbours and the node go to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = scratch.keep(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}")
+        seen = Observation()  # the round's digest comes with its write
+        nxt = small.union(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest"))
+        live = scratch.keep(nxt, f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
-        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        live = nxt
+        now = tuple(seen.get.values())
         if now == before:
             break
         before = now

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,8 +38,9 @@ def personalised_pagerank(edges: DataFrame, scores: DataFrame, alpha: float = 0.
         flow = mass.withColumnRenamed("id", "src").join(p, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("mass") * F.col("p")).alias("in"))
         new = start.withColumnRenamed("mass", "s").join(flow, "id", "left").join(mass.withColumnRenamed("mass", "old"), "id")
         new = new.select("id", (alpha * F.col("s") + (1 - alpha) * F.coalesce("in", F.lit(0.0))).alias("mass"), "old")
-        kept = scratch.keep(new, f"round-{turn}")
-        moved = kept.agg(F.max(F.abs(F.col("mass") - F.col("old")))).first()[0]
+        seen = Observation()  # how far mass moved comes with the round's write
+        kept = scratch.keep(new.observe(seen, F.max(F.abs(F.col("mass") - F.col("old"))).alias("moved")), f"round-{turn}")
+        moved = seen.get["moved"]
         scratch.drop(f"round-{turn - 1}")
         mass = kept.select("id", "mass")
         if moved is None or moved < tolerance:
@@ -50,7 +51,9 @@ def personalised_pagerank(edges: DataFrame, scores: DataFrame, alpha: float = 0.
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """id, hop (0 for seeds) of all nodes within that many undirected steps."""
     scratch = Scratch(edges.sparkSession, "hops")
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    if hops > 1:
+        both = scratch.keep(both.distinct(), "both")
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
