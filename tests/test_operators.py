@@ -277,3 +277,20 @@ def test_weights_normalise(spark):
     assert get("softmax") == [round(2 / (1 + math.exp(2)), 6), round(2 / (1 + math.exp(-2)), 6)]
     with pytest.raises(ValueError):
         importance.normalised_weights(edges, "other")
+
+
+def test_keywords_of_a_text(spark):
+    from weftgraph.functions import keywords
+
+    r = spark.range(1).select(keywords.keywords(F.lit("大约720MPa, Inconel 718 and 5-7 nm of GAMMA phase")).alias("k")).first().k
+    assert r.numbers[0] == "大约720MPa" and "718" in r.numbers and any(n.startswith("5-7") for n in r.numbers)
+    assert "Inconel 718" in r.alloys and r.terms == ["gamma"]
+
+
+def test_attention_sums_to_one_over_entering_edges(spark):
+    edges = spark.createDataFrame([("a", "c", 0, 1000.0), ("b", "c", 0, 1000.0), ("a", "b", 0, -5.0)], "src string, dst string, head int, l double")
+    rows = walks.attention(edges, F.col("l"))
+    assert {(r.src, r.dst): r.attention for r in rows.collect()} == {("a", "c"): 0.5, ("b", "c"): 0.5, ("a", "b"): 1.0}
+    features = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 4.0])], "id string, vector array<double>")
+    assert {r.id: r.vector for r in walks.attended(rows, features).collect()} == {"b": [1.0, 0.0], "c": [0.5, 2.0]}
+    assert walks.mean_attention(edges.withColumn("weight", F.lit(2.0)), None).first().attention == 2.0

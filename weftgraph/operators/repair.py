@@ -139,3 +139,11 @@ def load_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = rels.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     edges = edges.withColumn("id", F.concat_ws("-", "chunk_id", "original_id"))
     return nodes.drop("position", "at"), first_by_key(edges, ["id"], ["position", "at"]).drop("position", "at")
+
+
+def to_embed(nodes: DataFrame, resolved_only: bool = True) -> DataFrame:
+    """id and text of the nodes to embed: those resolved, or without a merge all with a text."""
+    text = F.trim(F.concat_ws(": ", "name", "description"))
+    rows = nodes.withColumn("text", text)
+    kept = F.coalesce(F.col("is_disambiguated"), F.lit(False)) if resolved_only else F.col("text") != ""
+    return rows.where(kept).select("id", "text")

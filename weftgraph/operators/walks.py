@@ -150,3 +150,31 @@ def non_edges(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 0)
     draws = draws.withColumn("slot", F.pmod(F.xxhash64("src", "draw", F.lit(seed)), F.lit(max(1, count))))
     pairs = draws.join(numbered, "slot").select("src", F.col("id").alias("dst")).where("src <> dst").distinct()
     return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def attention(edges: DataFrame, logit: Column, head: str = "head") -> DataFrame:
+    """Add attention: softmax of a logit over the edges that enter each node, per head.
+
+    The greatest logit of a node is taken off first, so nothing overflows. Only
+    real edges have rows, which is what masks the rest.
+    """
+    rows = edges.withColumn("__l", logit.cast("double"))
+    top = rows.groupBy("dst", head).agg(F.max("__l").alias("__m"))
+    rows = rows.join(top, ["dst", head]).withColumn("__e", F.exp(F.col("__l") - F.col("__m")))
+    total = rows.groupBy("dst", head).agg(F.sum("__e").alias("__t"))
+    return rows.join(total, ["dst", head]).withColumn("attention", F.col("__e") / F.col("__t")).drop("__l", "__m", "__e", "__t")
+
+
+def mean_attention(edges: DataFrame, heads: DataFrame | None, weight: str = "weight") -> DataFrame:
+    """Add attention to edges: the mean over heads, or the edge's weight without a model."""
+    if heads is None:
+        return edges.withColumn("attention", F.col(weight).cast("double"))
+    mean = heads.groupBy("src", "dst").agg(F.avg("attention").alias("attention"))
+    return edges.join(mean, ["src", "dst"], "left").withColumn("attention", F.coalesce("attention", F.col(weight).cast("double")))
+
+
+def attended(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """id, vector: attention-weighted sums of the source nodes' feature vectors, per destination."""
+    rows = edges.join(features.select(F.col("id").alias("src"), F.posexplode("vector").alias("at", "x")), "src")
+    sums = rows.groupBy(F.col("dst").alias("id"), "at").agg(F.sum(F.col("attention") * F.col("x")).alias("x"))
+    return sums.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))

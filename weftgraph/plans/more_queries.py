@@ -344,3 +344,42 @@ def event_windows(spark, sf_dir):
     from ..streaming.incremental import event_windows as windows
 
     return windows(load(spark, sf_dir, "events")).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "f7_keywords",
+    """SELECT p_partkey, p_size || ' MPa' AS numbers, 'CMSX-' || p_size AS alloys, CASE WHEN p_size % 2 = 0 THEN 'gamma|gamma prime' ELSE 'rafting' END AS terms FROM part""",
+)
+def f7_keywords(spark, sf_dir):
+    from ..functions import keywords
+
+    size = F.col("p_size").cast("string")
+    said = F.concat(F.lit("at "), size, F.lit(" MPa: "), F.when(F.col("p_size") % 2 == 0, "Gamma Prime").otherwise("RAFTING"))
+    join = lambda a: F.array_join(a, "|")
+    rows = load(spark, sf_dir, "part").select("p_partkey", said.alias("said"), F.concat(F.lit("CMSX-"), size).alias("alloy"))
+    number = F.replace(join(keywords.numbers(F.replace(F.col("said"), F.lit(" MPa"), F.lit("MPa")))), F.lit("MPa"), F.lit(" MPa"))
+    named = F.filter(keywords.alloys(F.col("alloy")), lambda a: a.startswith("CMSX"))
+    return rows.select("p_partkey", number.alias("numbers"), join(F.when(F.size(named) > 0, named).otherwise(F.array("alloy"))).alias("alloys"), join(keywords.terms(F.col("said"))).alias("terms"))
+
+
+@query(
+    "n1_attention",
+    """WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, l_linenumber % 2 AS head, sum(l_discount) AS l FROM lineitem GROUP BY ALL), m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY dst, head)) AS x FROM e)
+       SELECT src, dst, head, round(x / sum(x) OVER (PARTITION BY dst, head), 8) AS attention FROM m""",
+)
+def n1_attention(spark, sf_dir):
+    e = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_linenumber") % 2).alias("head")).agg(F.sum("l_discount").alias("l"))
+    return walks.attention(e, F.col("l")).select("src", "dst", "head", F.round("attention", 8).alias("attention"))
+
+
+@query("n6_mean_attention", f"WITH {_S} SELECT src, dst, CASE WHEN src = 'S1' THEN 0.75 ELSE weight END AS attention FROM s")
+def n6_mean_attention(spark, sf_dir):
+    e = simple_edges(spark, sf_dir)
+    heads = e.where("src = 'S1'").select("src", "dst", F.explode(F.array(F.lit(0.5), F.lit(1.0))).alias("attention"))
+    return walks.mean_attention(e, heads).select("src", "dst", "attention")
+
+
+@query("v6_to_embed", "SELECT 'P' || p_partkey AS id, p_name || ': ' || p_brand AS text FROM part WHERE p_size % 3 = 0")
+def v6_to_embed(spark, sf_dir):
+    nodes = supply_nodes(spark, sf_dir).join(load(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), (F.col("p_size") % 3 == 0).alias("is_disambiguated")), "id", "left")
+    return repair.to_embed(nodes)

@@ -101,3 +101,15 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> str:
     for k, row in enumerate(edges.toLocalIterator()):
         out.append(f'<edge id="{k}" source={quoteattr(str(row["src"]))} target={quoteattr(str(row["dst"]))}/>')
     return "\n".join([*out, "</edges></graph></gexf>"])
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Answers or checkpoints as JSON lines, added to what is there."""
+    rows.write.mode("append").json(path)
+
+
+def sheets(tables: dict[str, DataFrame], path: str) -> None:
+    """One CSV folder per sheet of a workbook; arrays and structs as JSON."""
+    for name, table in tables.items():
+        flat = table.withColumns({f.name: F.to_json(f.name) for f in table.schema if f.dataType.typeName() in ("array", "struct", "map")}) if table.columns else table
+        flat.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
