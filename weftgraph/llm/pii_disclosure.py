@@ -48,6 +48,8 @@ AROUND = 6
 #: Documents that must show a term beside an entity; one alone says nothing about the corpus.
 LEAST_TOGETHER = 2
 THETA = 0.9
+#: Terms whose counts a task holds before it passes them on.
+COUNTED_TERMS = 1_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
@@ -175,7 +177,17 @@ def _finder(around: int):
 
 def _counter(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quick: dict[str, int] = {}
+        quick: dict[bytes, int] = {}
+        none = np.zeros(0, np.int64)
+        held_terms, held_n = none, none
+
+        def add(terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            every, group = np.unique(np.concatenate([held_terms, terms]), return_inverse=True)
+            return every, np.bincount(group, np.concatenate([held_n, n]), len(every)).astype(np.int64)
+
+        def rows(terms: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+
         for batch in batches:
             w = split_words(batch["text"])
             doc = np.repeat(np.arange(batch.num_rows), np.diff(w.first))
@@ -193,7 +205,11 @@ def _counter(bits: np.ndarray):
             hit = held(bits, keys)[group]
             pairs = np.unique(np.stack([keys[group[hit]], doc[hit]], axis=1), axis=0) if hit.any() else np.zeros((0, 2), np.int64)
             terms, n = np.unique(pairs[:, 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+            held_terms, held_n = add(terms, n)
+            if len(held_terms) > COUNTED_TERMS:
+                yield rows(held_terms, held_n)
+                held_terms, held_n = none, none
+        yield rows(held_terms, held_n)
 
     return run
 
@@ -214,12 +230,14 @@ def find(docs: DataFrame, around: int = AROUND, least_together: int = LEAST_TOGE
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_together)
-    # n(t) is at least n(c,t), so a pair can only disclose if it does with n(t) = n(c,t)
-    pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
-    bits = filter_of(pairs.select(F.col("term").alias("key")))
-    counts = rows.select("text").mapInArrow(_counter(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # n(t) is at least the number of documents that show t beside any mention, and that already rules most terms out
+    beside = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
     n = F.lit(float(max(total, 1)))
     information = F.log(n / F.col("n_entity"))
+    possible = (information > 0) & (F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_beside"))) >= theta * information - 1e-9)
+    pairs = scratch.keep(pairs.join(entities, "entity").join(beside, "term").where(possible).drop("n_beside"), "pairs")
+    bits = filter_of(pairs.select(F.col("term").alias("key")))
+    counts = rows.select("text").mapInArrow(_counter(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     gain = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     telling = scratch.keep(pairs.join(counts, "term").where((information > 0) & (gain >= theta * information - 1e-9)).select("entity", "term"), "telling")
 
