@@ -71,7 +71,7 @@ def line_bounds(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Bytes of texts that are counted at a time (one longer text is taken whole).
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:

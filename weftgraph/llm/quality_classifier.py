@@ -118,7 +118,7 @@ def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
     """Fit on at most max_train labelled documents outside the held-out part."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, megabytes=4)
     known = only(labels, doc_id="doc_id", quality="quality").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> For
 
 def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, megabytes=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +144,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Data
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, all columns unchanged."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, megabytes=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

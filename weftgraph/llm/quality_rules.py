@@ -77,7 +77,7 @@ def least_holdout(risk: float, delta: float) -> int:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and all counts, one row for every row of docs."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, megabytes=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
