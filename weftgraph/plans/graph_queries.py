@@ -44,6 +44,13 @@ def g1_components(spark, sf_dir):
     return components.connected_components(edges, Scratch(spark, "g1"), "g1")
 
 
+@query("g1_all_components")
+def g1_all_components(spark, sf_dir):
+    """The same over all edges; the recursive SQL above is too slow for them."""
+    edges = simple_edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return components.connected_components(edges, Scratch(spark, "g1all"), "g1all")
+
+
 _P = "t AS (SELECT src, sum(weight) AS t FROM s GROUP BY src), p AS (SELECT s.src, s.dst, s.weight / t.t AS p FROM s JOIN t USING (src))"
 
 
@@ -123,13 +130,13 @@ def g8_khop(spark, sf_dir):
 
 @query("g11_label_propagation")
 def g11_label_propagation(spark, sf_dir):
-    edges = _heavy(spark, sf_dir)
+    edges = simple_edges(spark, sf_dir)
     return communities.label_propagation(edges, stats.degrees(edges).select("id"), 6)
 
 
 @query("g9_local_moves")
 def g9_local_moves(spark, sf_dir):
-    edges = _heavy(spark, sf_dir)
+    edges = simple_edges(spark, sf_dir)
     return communities.local_moves(edges, stats.degrees(edges).select("id"), levels=2, rounds=4)
 
 
@@ -140,13 +147,13 @@ def g13_kmeans(spark, sf_dir):
 
 @query("g19_hierarchy")
 def g19_hierarchy(spark, sf_dir):
-    edges = _heavy(spark, sf_dir)
+    edges = simple_edges(spark, sf_dir)
     return communities.hierarchy(edges, stats.degrees(edges).select("id"), 2, 5, detect=lambda e, n: communities.label_propagation(e, n, 4))
 
 
 @query("g20_betweenness")
 def g20_betweenness(spark, sf_dir):
-    edges = _heavy(spark, sf_dir)
+    edges = simple_edges(spark, sf_dir)
     labels = components.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(spark, "g20"), "g20").select("id", F.col("component").alias("community"))
     return importance.community_betweenness(edges, labels)  # not rounded: shares of a large graph are below 1e-8
 
@@ -237,14 +244,14 @@ def j12_unlinked(spark, sf_dir):
 
 @query("g23_method_comparison")
 def g23_method_comparison(spark, sf_dir):
-    edges = _heavy(spark, sf_dir)
+    edges = simple_edges(spark, sf_dir)
     rows = detection.comparison(edges, stats.degrees(edges).select("id"), ["label_propagation", "leiden"])
     return rows.withColumn("modularity", F.round("modularity", 8))
 
 
 @query("g28_importance_job")
 def g28_importance_job(spark, sf_dir):
-    edges = _heavy(spark, sf_dir).select("src", "dst", "weight")
+    edges = simple_edges(spark, sf_dir).select("src", "dst", "weight")
     scored = detection.partitioned(edges, stats.degrees(edges).select("id"), "label_propagation", 0.6)[1]
     return scored.select("src", "dst", F.round("composite", 8).alias("composite"))
 
@@ -256,7 +263,7 @@ def g14_density_communities(spark, sf_dir):
 
 @query("g21_node_measures")
 def g21_node_measures(spark, sf_dir):
-    edges = _heavy(spark, sf_dir)
+    edges = simple_edges(spark, sf_dir)
     labels = components.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(spark, "g21"), "g21").select("id", F.col("component").alias("community"))
     return detection.node_measures(edges, labels).select("id", F.round("betweenness", 8).alias("betweenness"), F.round("closeness", 8).alias("closeness"))
 

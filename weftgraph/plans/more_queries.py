@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import categories, citations, ids, text
 from ..operators import communities, context, evaluation, repair, walks, words
+from ..scratch import Scratch
 from ..sources import pages, sinks
 from .adapters import SIMPLE_EDGES_SQL, load, simple_edges, supply_edges, supply_nodes
 from .catalogue import query
@@ -333,7 +334,20 @@ def g32_masked_scores(spark, sf_dir):
     f"""WITH {_S}, e AS (SELECT src, dst FROM s WHERE weight >= 150) SELECT src, dst, s_name || ' --[SUPPLIES]--> ' || p_name AS explanation FROM e JOIN supplier ON 'S' || s_suppkey = src JOIN part ON 'P' || p_partkey = dst""",
 )
 def g6_explanations(spark, sf_dir):
-    e = simple_edges(spark, sf_dir).where("weight >= 150").select("src", "dst", F.lit("SUPPLIES").alias("relationship"), F.lit("").alias("description"))
+    return _explanations(spark, sf_dir, simple_edges(spark, sf_dir).where("weight >= 150"))
+
+
+@query(
+    "g6_all_explanations",
+    f"""WITH {_S} SELECT src, dst, s_name || ' --[SUPPLIES]--> ' || p_name AS explanation FROM s JOIN supplier ON 'S' || s_suppkey = src JOIN part ON 'P' || p_partkey = dst""",
+)
+def g6_all_explanations(spark, sf_dir):
+    return _explanations(spark, sf_dir, simple_edges(spark, sf_dir))
+
+
+def _explanations(spark, sf_dir, edges):
+    edges = Scratch(spark, "g6").keep(edges.select("src", "dst"), "edges")  # read twice, so its rows must not change places
+    e = edges.select("src", "dst", F.lit("SUPPLIES").alias("relationship"), F.lit("").alias("description"))
     paths = e.select(F.array("src", "dst").alias("path"))
     rows = walks.explained(paths, e, supply_nodes(spark, sf_dir))
     return rows.select(F.get("path", F.lit(0)).alias("src"), F.get("path", F.lit(1)).alias("dst"), "explanation")
