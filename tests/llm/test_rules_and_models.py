@@ -270,3 +270,22 @@ def test_term_spans_match_brute_force(spark):
     for r in pii_disclosure.find(documents(spark, texts)).collect():
         spans = [s.split(":") for s in r.spans.split(",") if s]
         assert sorted((int(a), int(b)) for kind, a, b in spans if kind == "term") == expected[r.doc_id]
+
+
+def test_telling_terms_are_marked_wherever_they_stand(spark):
+    """Far from the mention, at every occurrence, and for an entity of one document."""
+    far = " ".join(["common"] * 30)
+    texts = [f"zorblax {far} jo@example.com {far} zorblax", f"Zorblax {far} jo@example.com", f"quixel {far} al@example.org", *["common text"] * 40]
+    rows = {r.doc_id: r.spans for r in pii_disclosure.find(documents(spark, texts), least_together=1).collect()}
+    told = {k: [texts[k][int(a) : int(b)] for kind, a, b in (s.split(":") for s in rows[k].split(",") if s) if kind == "term"] for k in rows}
+    assert told == {0: ["zorblax", "zorblax"], 1: ["Zorblax"], 2: ["quixel"], **{k: [] for k in range(3, len(texts))}}
+    two = {r.doc_id: r.spans for r in pii_disclosure.find(documents(spark, texts)).collect()}
+    assert "term" in two[0] and "term" not in two[2]
+
+
+def test_term_spans_of_the_threshold_alone_match_brute_force(spark):
+    texts = [f"w{i % 7} w{i % 11} rare{i % 60} user{i % 9}@mail.org is{i % 9} tail{i // 2}" + " w1" * (i % 3) + (f" box{i}@mail.org" if i % 5 == 0 else "") for i in range(90)]
+    expected = _brute_terms(texts, 1 << 31, 1, pii_disclosure.THETA)
+    assert sum(map(len, expected)) > 20
+    for r in pii_disclosure.find(documents(spark, texts), least_together=1).collect():
+        assert sorted((int(a), int(b)) for kind, a, b in (s.split(":") for s in r.spans.split(",") if s) if kind == "term") == expected[r.doc_id]

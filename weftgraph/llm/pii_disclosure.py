@@ -1,23 +1,28 @@
 """Personal data and the terms that give it away.
 
 Base spans (e-mail, IP, card, phone) are found by fixed rules. Then the corpus
-decides which ordinary words around them disclose them. An entity c is one
+decides which ordinary words beside them disclose them. An entity c is one
 protected value; a document counts for it when it mentions it, and a term t
-counts with it when it stands within ``around`` words of a mention. Over all N
-documents
+counts with it when it stands anywhere in such a document, outside every base
+span. Over all N documents
 
     IC(c)     = ln(N / n(c))                  information content of the entity
     PMI(c, t) = ln(N n(c,t) / (n(c) n(t)))    information t gives about c
 
 and t discloses c where PMI >= theta IC, which is reached when t hardly occurs
-without c. Such terms near mentions of c become spans too. Terms with a digit
-or a capital letter are generalised (to a class name), others removed.
-
-Scale: one pass over the texts finds mentions and their few neighbouring words;
-pairs are counted by partial aggregates. n(t) is counted over every document,
-but only for words that may disclose something: a Bloom filter of fixed size
-(1 MB) picks them where the texts are read, and an exact join follows, so the
-filter's false hits only cost time. No step holds the terms of all documents.
+without c. Every occurrence of such a term in the documents of c becomes a span
+too. Terms with a digit or a capital letter are generalised (to a class name),
+others removed. ``least_together`` asks for so many documents of both; at 1 the
+threshold alone decides.
+
+Scale: one pass over the texts finds mentions; texts with one are kept apart.
+As n(c,t) <= n(c), a term tells nothing where n(t) > N^(1-theta) n(c)^theta, so
+words common among the texts with mentions go first. n(t) is counted over every
+document, but only for the words left: a Bloom filter of fixed size (1 MB) picks
+them where the texts are read, and after the same test a second one picks the
+places of the rest; exact joins follow, so false hits only cost time. Pairs are
+counted by partial aggregates, and entities of one document need no pairs: there
+n(c,t) is 1. No step holds the terms of all documents.
 
 Defined results: a null text is an empty one, without spans. Rows that repeat
 count as documents of their own. Ties need no order: all counts are sums. Other
@@ -33,7 +38,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_of, held
@@ -44,8 +49,9 @@ from .wordhash import split_words, word_hashes
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-AROUND = 6
-#: Documents that must show a term beside an entity; one alone says nothing about the corpus.
+#: Words on either side of a mention that count as beside it: those of any document.
+AROUND = 1 << 31
+#: Documents that must show a term and an entity, where the caller does not say.
 LEAST_TOGETHER = 2
 THETA = 0.9
 #: Terms whose counts a task holds before it passes them on.
@@ -121,61 +127,65 @@ class Mention(NamedTuple):
     end: int
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]], around: int) -> list[tuple[int, str, int, int]]:
-    """(entity, word, start, end) of the words near each span, none inside any."""
-    out: list[tuple[int, str, int, int]] = []
-    taken = sorted((a, b) for _, a, b in spans)
-    starts = np.array([a for a, _ in taken])
-    ends = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else starts
-    for kind, a, b in spans:
-        entity = _key(f"{KINDS[kind]}:{_value(kind, text[a:b])}")
-        before, reach = [], a
-        while len(before) < around and reach > 0:  # whole words leftwards, a stretch at a time
-            low = max(0, reach - 64)
-            while low > 0 and not text[low - 1] in " \t\n\v\f\r" and reach - low < 4096:
-                low -= 1
-            before = [(m.start() + low, m.end() + low) for m in _WORD.finditer(text[low:reach])] + before
-            reach = low
-        after = []
-        for m in _WORD.finditer(text, b):
-            after.append(m.span())
-            if len(after) == around:
-                break
-        for s, e in [*before[-around:], *after]:
-            k = np.searchsorted(starts, e, "left") - 1
-            if k < 0 or ends[k] <= s:
-                out.append((entity, text[s:e], s, e))
-    return out
+def outside(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words between the spans."""
+    last = 0
+    for a, b in [*sorted(spans), (len(text), len(text))]:
+        for m in _WORD.finditer(text, last, max(a, last)):
+            yield m[0], m.start(), m.end()
+        last = max(last, b)
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, near array<struct<entity:bigint,term:bigint,start:int,stop:int>>"
+_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<bigint>, text string"
+_PLACES = "row long, term long, start int, stop int"
 
 
 def _term(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>").lower()
 
 
-def _finder(around: int):
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: list[list[int]] = [[] for _ in KINDS]
+        digests, joined, entities, texts = [], [], [], []
+        for text in batch["text"].to_pylist():
+            spans = base_spans(text or "")
+            for k in range(len(KINDS)):
+                counts[k].append(sum(s[0] == k for s in spans))
+            written = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+            digests.append(hashlib.sha256(written.encode()).hexdigest())
+            joined.append(written)
+            entities.append(sorted({_key(f"{KINDS[k]}:{_value(k, text[a:b])}") for k, a, b in spans}))
+            texts.append(text if spans else None)
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(joined, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "entities", "text"])
+
+
+def _placer(bits: np.ndarray):
+    """Places of the words outside base spans whose terms the filter may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+        quick: dict[str, int] = {}
         for batch in batches:
-            counts: list[list[int]] = [[] for _ in KINDS]
-            digests, joined, near = [], [], []
-            for text in batch["text"].to_pylist():
-                spans = base_spans(text or "")
-                for k in range(len(KINDS)):
-                    counts[k].append(sum(s[0] == k for s in spans))
-                written = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-                digests.append(hashlib.sha256(written.encode()).hexdigest())
-                joined.append(written)
-                # a word's spans of several mentions differ in the entity
-                near.append([{"entity": c, "term": _key(t), "start": a, "stop": b} for c, w, a, b in neighbours(text, spans, around) if (t := _term(w))] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(joined, pa.string()), pa.array(near, near_type)], names=["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "near"])
+            out: tuple[list[int], ...] = ([], [], [], [])
+            for row, text, written in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                for word, *place in outside(text, [tuple(map(int, s.split(":")[1:])) for s in written.split(",")]):
+                    if (key := quick.get(word)) is None:
+                        if len(quick) > 500_000:
+                            quick.clear()
+                        key = quick[word] = _key(_term(word)) if _term(word) else 0
+                    if key:
+                        for values, x in zip(out, (row, key, *place), strict=True):
+                            values.append(x)
+            hit = held(bits, np.array(out[1], np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)[hit], k) for v, k in zip(out, kinds, strict=True)], names=["row", "term", "start", "stop"])
 
     return run
 
 
-def _counter(bits: np.ndarray):
+def _counter(bits: np.ndarray | None = None):
+    """Documents of a task by term, for the terms that the filter may hold, or for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quick: dict[bytes, int] = {}
         none = np.zeros(0, np.int64)
@@ -202,7 +212,7 @@ def _counter(bits: np.ndarray):
                 if got is None:
                     got = quick[word] = _key(_term(word.decode()))
                 keys[k] = got
-            hit = held(bits, keys)[group]
+            hit = (np.ones(len(keys), bool) if bits is None else held(bits, keys))[group]
             pairs = np.unique(np.stack([keys[group[hit]], doc[hit]], axis=1), axis=0) if hit.any() else np.zeros((0, 2), np.int64)
             terms, n = np.unique(pairs[:, 0], return_counts=True)
             held_terms, held_n = add(terms, n)
@@ -218,34 +228,43 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return only(docs, doc_id="doc_id", text="text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def find(docs: DataFrame, around: int = AROUND, least_together: int = LEAST_TOGETHER, theta: float = THETA) -> DataFrame:
+def find(docs: DataFrame, least_together: int = LEAST_TOGETHER, theta: float = THETA) -> DataFrame:
     """Per row of docs: doc_id, counts by kind, base_sha256, spans (base and term spans)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "pii")
     rows = _text_rows(docs)
-    found = scratch.keep(rows.mapInArrow(_finder(around), _FOUND), "found")
-    total = found.count()
-
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_together)
-    # n(t) is at least the number of documents that show t beside any mention, and that already rules most terms out
-    beside = near.select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    n = F.lit(float(max(total, 1)))
-    information = F.log(n / F.col("n_entity"))
-    possible = (information > 0) & (F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_beside"))) >= theta * information - 1e-9)
-    pairs = scratch.keep(pairs.join(entities, "entity").join(beside, "term").where(possible).drop("n_beside"), "pairs")
-    bits = filter_of(pairs.select(F.col("term").alias("key")))
-    counts = rows.select("text").mapInArrow(_counter(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    gain = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    telling = scratch.keep(pairs.join(counts, "term").where((information > 0) & (gain >= theta * information - 1e-9)).select("entity", "term"), "telling")
-
-    extra = near.join(telling, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.lit(1).alias("one"))
-    extra = extra.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
+    found = scratch.keep(rows.mapInArrow(_finder, _FOUND), "found")
+    n = F.lit(float(max(found.count(), 1)))
+    private = found.where("text is not null")
+
+    def telling(n_both: Column, n_entity: Column, n_term: Column) -> Column:
+        information = F.log(n / n_entity)
+        return (information > 0) & (F.log(n * n_both / (n_entity * n_term)) >= theta * information - 1e-9)
+
+    mentions = private.select("row", F.explode("entities").alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= least_together) & (F.col("n_entity") < n))
+    owners = scratch.keep(mentions.join(entities, "entity"), "owners")
+    most = F.lit(owners.agg(F.max("n_entity")).first()[0] or 1)
+    # n(t) is at least the number of texts with mentions that show t, and that already rules most terms out
+    counted = lambda texts, count: texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    beside = counted(private.select("text"), _counter()).where(telling(most, most, F.col("n_term")))
+    bits = filter_of(beside.select(F.col("term").alias("key")))
+    rare = scratch.keep(counted(rows.select("text"), _counter(bits)).where(telling(most, most, F.col("n_term"))), "rare")
+    bits = filter_of(rare.select(F.col("term").alias("key")))
+    places = scratch.keep(private.select("row", "text", "spans").mapInArrow(_placer(bits), _PLACES).join(rare, "term"), "places")
+
+    one = F.lit(1)
+    alone = places.where(telling(one, one, F.col("n_term"))).join(owners.where("n_entity = 1").select("row").distinct(), "row", "left_semi").select("row", "term").distinct()
+    shared = places.select("row", "term", "n_term").distinct().join(owners.where("n_entity > 1"), "row").where(telling(F.col("n_entity"), F.col("n_entity"), F.col("n_term")))
+    pairs = shared.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    pairs = pairs.where((F.col("n_both") >= least_together) & telling(F.col("n_both"), F.col("n_entity"), F.col("n_term"))).select("entity", "term")
+    told = alone.union(shared.join(pairs, ["entity", "term"], "left_semi").select("row", "term")).distinct()
+
+    extra = places.join(told, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
     written = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(f"{TERM}:"), t["start"].cast("string"), F.lit(":"), t["stop"].cast("string"))), ",")
     spans = F.concat_ws(",", F.nullif("spans", F.lit("")), written)
-    return found.drop("near").join(extra, "row", "left").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    return found.drop("entities", "text").join(extra, "row", "left").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
 
 
 def sanitise_text(text: str | None, spans: str | None) -> str | None:
