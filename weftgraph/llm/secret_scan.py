@@ -1,7 +1,9 @@
 """Secret scanning with a random forest against false positives, JVM-side.
 
-A candidate is a maximal run of key characters of at least 16, with a digit in
-it. A random forest decides from its length, character transitions, dictionary
+A candidate is a maximal run of key characters that has at least 16 of them, or
+stands after an assignment (= or :, at most eight blanks, a quote), or holds one
+(name=value), or begins as known keys do; of any length then, with or without
+digits. A random forest decides from its length, character transitions, dictionary
 coverage, whether it stands in a path or host name, and from the neighbouring
 words whether it is a secret. The forest is trained by MLlib on labelled
 findings; its trees are turned into flat arrays and walked by higher-order SQL
@@ -27,7 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN = r"A-Za-z0-9+/_=.~\-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z+/_=.~\-]*+[0-9])[{_RUN}]{{16,}}+"
+_PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|sk[_\-]|xox[abprs]-|eyJ|AIza|glpat-|npm_)"
+#: Look-behinds of fixed widths, as not every engine has others.
+_ASSIGNED = "|".join(rf"(?<=[=:]{blank}{quote})" for n in range(9) for blank in [rf"\s{{{n}}}" if n else ""] for quote in ("", "[\"'`]"))
+CANDIDATE = rf"(?<![{_RUN}])(?:[{_RUN}]{{16,}}+|(?=[A-Za-z0-9_.\-]++=++[A-Za-z0-9+/_.~\-])[{_RUN}]++|{_PREFIX}[{_RUN}]*+|(?<=[\s:\"'`])(?:{_ASSIGNED})[{_RUN}]++)"
 
 # fixed values: words that show what a run is
 SECRET_WORDS = ("token", "secret", "key", "apikey", "passwd", "password", "pwd", "auth", "bearer", "credential", "private", "access", "signing")
@@ -79,14 +84,14 @@ def features(run: Column, before: Column, after: Column) -> Column:
         F.length(F.regexp_replace(run, r"[^.]++", "")),
         F.length(F.regexp_replace(run, r"[^+=~]++", "")),
         F.length(F.regexp_replace(run, r"[^_\-]++", "")),
-        _flag(near.rlike(r"[=:]\s*[\"'`]?$")),
+        _flag(near.rlike(r"[=:]\s*[\"'`]?$") | run.rlike(r"^[A-Za-z0-9_.\-]++=++[^=]")),
         _flag(near.rlike(r"[\"'`]$") & beyond.rlike(r"^[\"'`]")),
-        _flag(around.rlike("(?:" + "|".join(SECRET_WORDS) + ")")),
+        _flag(around.rlike("(?:" + "|".join(SECRET_WORDS) + ")") | lower.rlike(r"^[a-z0-9_.\-]*(?:" + "|".join(SECRET_WORDS) + r")[a-z0-9_.\-]*=[^=]")),
         _flag(around.rlike(r"\b(?:" + "|".join(HARMLESS_WORDS) + r")\b")),
         _flag(near.rlike("@$") | beyond.rlike("^@")),
         _flag(near.rlike(r"(?:://|[\\/])$") | run.rlike(r"^(?:\.{0,2}/|www\.)|\.(?:com|org|net|html?|jpe?g|png|gif|css|js|pdf|txt)(?:/|$)")),
         _flag(run.rlike(r"(.)\1{4}") | lower.rlike(r"example|placeholder|changeme|your[_\-]|12345678")),
-        _flag(run.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk[_\-]|xox[abprs]-|eyJ|AIza|glpat-|npm_)")),
+        _flag(run.rlike(rf"^{_PREFIX}")),
     )
     return F.array(*[v.cast("double") for v in values])
 
@@ -118,6 +123,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     number = F.pmod(F.xxhash64(n, F.lit("number")), F.lit(100000)).cast("string")
     prose = F.concat(w("p1"), F.lit(" "), w("p2"), F.lit(" "))
     assign = F.concat(prose, pick("name", ("token", "secret", "api_key", "apikey", "password", "auth_token", "access_key", "SECRET_KEY", "client_secret")), pick("mark", (" = \"", "=\"", ": ", "=", " = '", ": \"")))
+    name = pick("short", ("password", "passwd", "pwd", "secret", "db_password", "auth_token", "api_key", "token", "PASSWORD"))
+    given = F.concat(prose, name, pick("given", (" = \"", ": \"", "=\"", " = '", ": ", " = ", "\": \"")))
+    plain_name = pick("plain", ("color", "title", "name", "size", "class", "date", "note", "lang", "level", "width", "city", "count"))
+    said = F.concat(prose, plain_name, pick("said", (" = \"", ": \"", "=\"", " = '", ": ", " = ", ":")))
+    letters = lambda salt: F.regexp_replace(base64(salt), "[^A-Za-z]", "")
+    shorter = lambda text, low, high: F.substring(text, F.lit(1), (F.lit(low) + F.pmod(F.xxhash64(n, F.lit("shorter")), F.lit(high - low + 1))).cast("int"))
+    made = F.concat(pick("m1", ("S3cr3t", "P4ss", "hunter2", "Tr0ub4dor", "qwe9", "Xk7", "Adm1n", "L3tme")), pick("m2", ("Pass9", "In!", "Word1", "Zz8", "Rt5", "Key7", "Go3", "")))
+    made = F.regexp_replace(made, "!", "_")
     closing = pick("close", ("\"", "'", "", " ", "\n"))
     cases = (
         (1, cut(h("a"), 32, 64), assign, closing),
@@ -139,11 +152,28 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, F.concat(w("z1"), w("z2"), w("z3"), w("z4"), number), prose, F.lit(" ")),
         (0, F.concat(F.lit("2024-01-"), F.lpad(F.substring(number, 1, 2), 2, "0"), F.lit("T10:20:"), number), pick("t1", ("date: ", "at ", "build ")), F.lit(" ")),
         (0, F.concat(number, number, number, number), pick("n1", ("order ", "isbn ", "", "number ")), F.lit(" ")),
+        # short or letters only, after an assignment or a known prefix, and what else stands there
+        (1, made, given, closing),
+        (1, shorter(plain("r1"), 8, 15), given, closing),
+        (1, shorter(letters("r2"), 12, 40), given, closing),
+        (1, F.concat(name, F.lit("="), pick("r3", ("a", "b", "c")), shorter(plain("r3"), 8, 30)), prose, closing),
+        (1, F.concat(F.lit("AKIA"), F.upper(F.substring(letters("r4"), 1, 16))), pick("da", ("", "aws ", "key ", "id = ", "the ")), closing),
+        (0, w("o1"), given, closing),
+        (0, w("o2"), said, closing),
+        (0, pick("o3", ("The", "A", "This", "We", "It", "In", "1", "10", "2020", "30.", "word,", "Part.")), F.concat(w("p3"), F.lit(" "), w("p4"), pick("o4", (": ", ":", ":  "))), F.lit(" ")),
+        (0, shorter(number, 1, 5), said, closing),
+        (0, F.concat(w("o5"), number), said, closing),
+        (0, F.concat(plain_name, F.lit("="), w("o6")), prose, closing),
+        (0, F.concat(plain_name, F.lit("="), number), prose, closing),
+        (0, F.concat(F.lit("sk-"), w("o7")), prose, F.lit(" ")),
+        (0, F.repeat(pick("o8", ("-", "=", "_", ".", "~", "-=", "a")), 40), pick("o9", ("", "\n", "the ")), F.lit("\n")),
+        (0, F.concat(w("l1"), pick("l0", ("-", "/", "", "_")), w("l2"), pick("l0", ("-", "/", "", "_")), w("l3"), pick("l0", ("-", "/", "", "_")), w("l4")), prose, F.lit(" ")),
+        (0, F.concat(F.upper(F.concat(w("u2"), w("u3"), w("u4"), w("u5"))), pick("u6", ("", ".", ""))), pick("u7", ("THE ", "and ", "\n", "OF THE ")), F.lit(" ")),
     )
     kind = F.pmod(n, F.lit(len(cases)))
     choose = lambda part: F.coalesce(*[F.when(kind == k, part(c)) for k, c in enumerate(cases)])
     out = spark.range(rows).select(choose(lambda c: c[1]).alias("run"), choose(lambda c: c[2]).alias("before"), choose(lambda c: c[3]).alias("after"), choose(lambda c: F.lit(c[0])).alias("label"))
-    return out.where(F.length("run") >= 16)
+    return out.where(F.concat("before", "run").rlike(CANDIDATE + "$"))
 
 
 _LINE = re.compile(r"^(\s*)(?:(If|Else) \(feature (\d+) (<=|>) ([-\d.E]+)\)|Predict: ([-\d.E]+))")
