@@ -23,7 +23,7 @@ def flagship_context(spark, sf_dir):
     edges = simple_edges(spark, sf_dir).withColumn("relationship", F.lit("SUPPLIES")).withColumn("description", F.lit("supplies"))
     hops = walks.neighbourhood(edges, seeds, 1)
     nodes = supply_nodes(spark, sf_dir).withColumn("chunk_id", F.concat(F.lit("chunk-"), F.substring("id", 2, 10))).withColumn("community", F.col("type"))
-    texts = load(spark, sf_dir, "documents").select(F.concat(F.lit("chunk-"), "doc_id").alias("chunk_id"), F.substring("text", 1, 500).alias("text"))
+    texts = load(spark, sf_dir, "documents").select(F.concat(F.lit("chunk-"), "doc_id").alias("chunk_id"), "text")
     reports = nodes.select("community").distinct().select("community", F.concat(F.lit("Parts of type "), "community").alias("text"))
     return context.local_context(nodes, edges, texts, reports, hops, limit=20_000)
 

@@ -102,7 +102,16 @@ def f11_templates(spark, sf_dir):
 
 @query("json_batch_content", "SELECT item_id, CASE WHEN item_id % 3 > 0 THEN substr(text, 1, 30) END AS content FROM benchmark")
 def json_batch_content(spark, sf_dir):
-    message = F.struct(F.struct(F.substring("text", 1, 30).alias("content")).alias("message"))
+    return _batch_content(spark, sf_dir, F.substring("text", 1, 30))
+
+
+@query("json_whole_batch_content", "SELECT item_id, CASE WHEN item_id % 3 > 0 THEN text END AS content FROM benchmark")
+def json_whole_batch_content(spark, sf_dir):
+    return _batch_content(spark, sf_dir, F.col("text"))
+
+
+def _batch_content(spark, sf_dir, content):
+    message = F.struct(F.struct(content.alias("content")).alias("message"))
     body = F.struct(F.array(message).alias("choices"))
     response = F.to_json(F.struct(F.struct(F.when(F.col("item_id") % 3 > 0, 200).otherwise(500).alias("status_code"), body.alias("body")).alias("response")))
     return load(spark, sf_dir, "benchmark").select("item_id", text.batch_content(response).alias("content"))

@@ -211,7 +211,19 @@ def w2_batches(spark, sf_dir):
     """SELECT item_id, '{"custom_id":"item-' || item_id || '","method":"POST","url":"/v1/embeddings","body":{"input":' || to_json(substr(text, 1, 40)) || ',"model":"stub"}}' AS request FROM benchmark""",
 )
 def k9_batch_requests(spark, sf_dir):
+    return _batch_requests(spark, sf_dir, F.substring("text", 1, 40))
+
+
+@query(
+    "k9_whole_batch_requests",
+    """SELECT item_id, '{"custom_id":"item-' || item_id || '","method":"POST","url":"/v1/embeddings","body":{"input":' || to_json(text) || ',"model":"stub"}}' AS request FROM benchmark""",
+)
+def k9_whole_batch_requests(spark, sf_dir):
+    return _batch_requests(spark, sf_dir, F.col("text"))
+
+
+def _batch_requests(spark, sf_dir, text):
     from ..sources.sinks import batch_requests
 
     rows = load(spark, sf_dir, "benchmark")
-    return batch_requests(rows, F.concat(F.lit("item-"), "item_id"), "/v1/embeddings", F.struct(F.substring("text", 1, 40).alias("input"), F.lit("stub").alias("model"))).select("item_id", "request")
+    return batch_requests(rows, F.concat(F.lit("item-"), "item_id"), "/v1/embeddings", F.struct(text.alias("input"), F.lit("stub").alias("model"))).select("item_id", "request")
