@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "bounded_batches", "only", "table"]
+__all__ = ["Scratch", "bounded_batches", "fresh", "only", "table"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) -> None:
@@ -21,5 +21,16 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df does not have, whatever it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

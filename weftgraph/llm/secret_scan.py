@@ -1,19 +1,23 @@
 """Secret scanning with a random forest against false positives, JVM-side.
 
 A candidate is a maximal run of key characters that has at least 16 of them, or
-stands after an assignment (= or :, at most eight blanks, a quote), or holds one
-(name=value), or begins as known keys do; of any length then, with or without
-digits. A random forest decides from its length, character transitions, dictionary
-coverage, whether it stands in a path or host name, and from the neighbouring
-words whether it is a secret. The forest is trained by MLlib on labelled
-findings; its trees are turned into flat arrays and walked by higher-order SQL
-functions inside the projection that finds the candidates. So scanning, scoring
-and redaction are one narrow pass of built-in expressions: nothing is exploded,
-shuffled or joined, and no Python runs on executors.
+stands after an assignment (= or :, at most eight blanks, a quote), or begins as
+known keys do; of any length then, with or without digits. An equals sign ends a
+run, so a name and its value are two, unless it pads base64. A random forest
+decides from its length, character transitions, dictionary coverage, whether it
+stands in a path or host name, and from the neighbouring words (three whole ones
+before it, of any length, the candidate before among them, and one after it)
+whether it is a secret. The forest is trained by MLlib on labelled findings, whose
+texts are cut into candidates by the same pattern; its trees are turned into flat
+arrays and walked by higher-order SQL functions inside the projection that finds
+the candidates. So scanning, scoring and redaction are one narrow pass of
+built-in expressions: nothing is exploded, shuffled or joined, and no Python runs
+on executors.
 
 Scale: linear in the text; the patterns use possessive runs and look-behind, so
-a run is looked at once however long it is. A document's candidates stay in its
-own row. The forest is a literal of about 100 kB.
+a run is looked at once however long it is, and the words around candidates are
+taken from the ends of the text between them. A document's candidates stay in
+its own row. The forest is a literal of about 100 kB.
 
 Defined results: a null text has no candidates and stays null when redacted; so
 does an empty one stay empty. Repeated rows are scanned each. Other columns are
@@ -28,11 +32,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN = r"A-Za-z0-9+/_=.~\-"
+from .runtime import Scratch, fresh, only
+
+_RUN = r"A-Za-z0-9+/_.~\-"
 _PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|sk[_\-]|xox[abprs]-|eyJ|AIza|glpat-|npm_)"
+_CODE = "[A-Za-z0-9+/]"
+_PADDED = rf"(?:{_CODE}{{4}}){{4,}}+(?:{_CODE}{{2}}==|{_CODE}{{3}}=)(?![{_RUN}=])"
 #: Look-behinds of fixed widths, as not every engine has others.
 _ASSIGNED = "|".join(rf"(?<=[=:]{blank}{quote})" for n in range(9) for blank in [rf"\s{{{n}}}" if n else ""] for quote in ("", "[\"'`]"))
-CANDIDATE = rf"(?<![{_RUN}])(?:[{_RUN}]{{16,}}+|(?=[A-Za-z0-9_.\-]++=++[A-Za-z0-9+/_.~\-])[{_RUN}]++|{_PREFIX}[{_RUN}]*+|(?<=[\s:\"'`])(?:{_ASSIGNED})[{_RUN}]++)"
+CANDIDATE = rf"(?<![{_RUN}])(?:{_PADDED}|[{_RUN}]{{16,}}+|{_PREFIX}[{_RUN}]*+|(?<=[\s:=\"'`])(?:{_ASSIGNED})[{_RUN}]++)"
 
 # fixed values: words that show what a run is
 SECRET_WORDS = ("token", "secret", "key", "apikey", "passwd", "password", "pwd", "auth", "bearer", "credential", "private", "access", "signing")
@@ -47,7 +55,7 @@ DICTIONARY = (
 
 FEATURES = (
     "length", "transitions", "distinct", "digits", "upper", "longest_letters", "dictionary", "hex", "slashes", "dots", "marks", "separators",
-    "assigned", "quoted", "secret_word", "harmless_word", "after_at", "in_path", "repeats", "prefix",
+    "assigned", "quoted", "secret_word", "harmless_word", "after_at", "in_path", "repeats", "prefix", "secret_name", "names",
 )
 
 TREES, DEPTH = 40, 6
@@ -64,13 +72,28 @@ def _flag(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
+def _tail(before: Column) -> Column:
+    """The last three words of a text and the blanks after them, written backwards."""
+    return F.regexp_extract(F.reverse(before), r"^\s*+\S*+\s*+\S*+\s*+\S*+", 0)
+
+
+def _head(after: Column) -> Column:
+    """What stands in a text up to its first whole word."""
+    return F.regexp_extract(after, r"^\S*+\s*+\S*+", 0)
+
+
 def features(run: Column, before: Column, after: Column) -> Column:
     """Array of doubles in the order of FEATURES; before and after are the text around."""
-    near, beyond = F.right(before, F.lit(60)), F.left(after, F.lit(40))
+    return _features(run, _tail(before), _head(after))
+
+
+def _features(run: Column, tail: Column, head: Column) -> Column:
     classes = F.translate(run, "".join(_KINDS), "".join(k * len(s) for k, s in zip("aA0-", _KINDS, strict=True)))
     lower = F.lower(run)
     letters = F.regexp_replace(run, r"[^A-Za-z]++", " ")
-    around = F.lower(F.concat_ws(" ", F.regexp_extract(near, r"(\S*\s*\S*\s*\S*)$", 1), F.regexp_extract(beyond, r"^\S*\s+(\S+)", 1)))
+    secret = "(?:" + "|".join(SECRET_WORDS) + ")"
+    around = F.lower(F.concat_ws(" ", F.reverse(tail), F.regexp_extract(head, r"^\S*+\s++(\S++)", 1)))
+    name = F.lower(F.reverse(F.regexp_extract(tail, r"^[\"'`]?\s*+[=:]\s*+[\"'`]?([A-Za-z0-9_.\-]++)", 1)))
     values = (
         F.length(run),
         F.length(F.regexp_replace(classes, r"(.)\1*+", "x")) / F.length(run),
@@ -84,14 +107,16 @@ def features(run: Column, before: Column, after: Column) -> Column:
         F.length(F.regexp_replace(run, r"[^.]++", "")),
         F.length(F.regexp_replace(run, r"[^+=~]++", "")),
         F.length(F.regexp_replace(run, r"[^_\-]++", "")),
-        _flag(near.rlike(r"[=:]\s*[\"'`]?$") | run.rlike(r"^[A-Za-z0-9_.\-]++=++[^=]")),
-        _flag(near.rlike(r"[\"'`]$") & beyond.rlike(r"^[\"'`]")),
-        _flag(around.rlike("(?:" + "|".join(SECRET_WORDS) + ")") | lower.rlike(r"^[a-z0-9_.\-]*(?:" + "|".join(SECRET_WORDS) + r")[a-z0-9_.\-]*=[^=]")),
+        _flag(tail.rlike(r"^[\"'`]?\s*+[=:]")),
+        _flag(tail.rlike(r"^[\"'`]") & head.rlike(r"^[\"'`]")),
+        _flag(around.rlike(secret)),
         _flag(around.rlike(r"\b(?:" + "|".join(HARMLESS_WORDS) + r")\b")),
-        _flag(near.rlike("@$") | beyond.rlike("^@")),
-        _flag(near.rlike(r"(?:://|[\\/])$") | run.rlike(r"^(?:\.{0,2}/|www\.)|\.(?:com|org|net|html?|jpe?g|png|gif|css|js|pdf|txt)(?:/|$)")),
+        _flag(tail.rlike("^@") | head.rlike("^@")),
+        _flag(tail.rlike(r"^(?://:|[\\/])") | run.rlike(r"^(?:\.{0,2}/|www\.)|\.(?:com|org|net|html?|jpe?g|png|gif|css|js|pdf|txt)(?:/|$)")),
         _flag(run.rlike(r"(.)\1{4}") | lower.rlike(r"example|placeholder|changeme|your[_\-]|12345678")),
         _flag(run.rlike(rf"^{_PREFIX}")),
+        _flag(name.rlike(secret)),
+        _flag(head.rlike(r"^[\"'`]?\s*+[=:]")),
     )
     return F.array(*[v.cast("double") for v in values])
 
@@ -106,10 +131,12 @@ class FlatForest(NamedTuple):
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Findings (run, before, after, label) of known kinds, made by rule.
+    """Findings (run, before, after, label, kind) of known kinds, made by rule.
 
-    The bound of the fit: rows. Texts vary with hashes of the row's number, so
-    the same rows come out everywhere.
+    Every one of ``rows`` texts (the bound of the fit) is cut into candidates as
+    scanned texts are; the planted run has its kind's label, other candidates
+    0. Texts vary with hashes of the row's number, so the same rows come out
+    everywhere.
     """
     n = F.col("id")
     h = lambda salt: F.sha2(F.concat(n.cast("string"), F.lit(salt)), 256)
@@ -124,7 +151,9 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     prose = F.concat(w("p1"), F.lit(" "), w("p2"), F.lit(" "))
     assign = F.concat(prose, pick("name", ("token", "secret", "api_key", "apikey", "password", "auth_token", "access_key", "SECRET_KEY", "client_secret")), pick("mark", (" = \"", "=\"", ": ", "=", " = '", ": \"")))
     name = pick("short", ("password", "passwd", "pwd", "secret", "db_password", "auth_token", "api_key", "token", "PASSWORD"))
-    given = F.concat(prose, name, pick("given", (" = \"", ": \"", "=\"", " = '", ": ", " = ", "\": \"")))
+    given = F.concat(prose, name, pick("given", (" = \"", ": \"", "=\"", " = '", ": ", " = ", "\": \"", "=", ":")))
+    long_name = F.concat(w("n1"), pick("n2", ("_", "-", "")), w("n3"), F.lit("_"), pick("n4", ("setting", "option", "width", "label", "format")), pick("said", (" = \"", ": \"", "=\"", " = '", ": ", " = ", "=")))
+    long_secret = F.concat(w("n1"), F.lit("_"), w("n3"), F.lit("_"), pick("n5", ("api_key", "token", "password", "secret_key")), pick("said", (" = \"", ": \"", "=\"", " = '", ": ", " = ", "=")))
     plain_name = pick("plain", ("color", "title", "name", "size", "class", "date", "note", "lang", "level", "width", "city", "count"))
     said = F.concat(prose, plain_name, pick("said", (" = \"", ": \"", "=\"", " = '", ": ", " = ", ":")))
     letters = lambda salt: F.regexp_replace(base64(salt), "[^A-Za-z]", "")
@@ -156,24 +185,35 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (1, made, given, closing),
         (1, shorter(plain("r1"), 8, 15), given, closing),
         (1, shorter(letters("r2"), 12, 40), given, closing),
-        (1, F.concat(name, F.lit("="), pick("r3", ("a", "b", "c")), shorter(plain("r3"), 8, 30)), prose, closing),
+        (1, F.concat(pick("r3", ("a", "b", "c")), shorter(plain("r3"), 8, 30)), F.concat(prose, name, F.lit("=")), closing),
         (1, F.concat(F.lit("AKIA"), F.upper(F.substring(letters("r4"), 1, 16))), pick("da", ("", "aws ", "key ", "id = ", "the ")), closing),
         (0, w("o1"), given, closing),
         (0, w("o2"), said, closing),
         (0, pick("o3", ("The", "A", "This", "We", "It", "In", "1", "10", "2020", "30.", "word,", "Part.")), F.concat(w("p3"), F.lit(" "), w("p4"), pick("o4", (": ", ":", ":  "))), F.lit(" ")),
         (0, shorter(number, 1, 5), said, closing),
         (0, F.concat(w("o5"), number), said, closing),
-        (0, F.concat(plain_name, F.lit("="), w("o6")), prose, closing),
-        (0, F.concat(plain_name, F.lit("="), number), prose, closing),
+        (0, w("o6"), F.concat(prose, plain_name, F.lit("=")), closing),
+        (0, number, F.concat(prose, plain_name, F.lit("=")), closing),
         (0, F.concat(F.lit("sk-"), w("o7")), prose, F.lit(" ")),
         (0, F.repeat(pick("o8", ("-", "=", "_", ".", "~", "-=", "a")), 40), pick("o9", ("", "\n", "the ")), F.lit("\n")),
         (0, F.concat(w("l1"), pick("l0", ("-", "/", "", "_")), w("l2"), pick("l0", ("-", "/", "", "_")), w("l3"), pick("l0", ("-", "/", "", "_")), w("l4")), prose, F.lit(" ")),
+        (1, F.concat(F.substring(plain("b1"), 1, 30), pick("b2", ("a", "b7", "Q3")), F.lit("==")), assign, closing),
+        (1, cut(plain("b3"), 16, 40), long_secret, closing),
+        (1, cut(h("b4"), 32, 40), long_secret, closing),
+        (0, w("b5"), long_name, closing),
+        (0, F.concat(w("b6"), F.lit(" "), number), long_name, closing),
+        (0, F.concat(F.lit("/search/"), w("b7"), F.lit("?page="), F.substring(number, 1, 2), F.lit("&lang="), w("b8")), pick("b9", ("http://www.example.org", "see ", "href=\"")), closing),
         (0, F.concat(F.upper(F.concat(w("u2"), w("u3"), w("u4"), w("u5"))), pick("u6", ("", ".", ""))), pick("u7", ("THE ", "and ", "\n", "OF THE ")), F.lit(" ")),
     )
     kind = F.pmod(n, F.lit(len(cases)))
-    choose = lambda part: F.coalesce(*[F.when(kind == k, part(c)) for k, c in enumerate(cases)])
-    out = spark.range(rows).select(choose(lambda c: c[1]).alias("run"), choose(lambda c: c[2]).alias("before"), choose(lambda c: c[3]).alias("after"), choose(lambda c: F.lit(c[0])).alias("label"))
-    return out.where(F.concat("before", "run").rlike(CANDIDATE + "$"))
+    parts = F.coalesce(*[F.when(kind == k, F.struct(F.lit(label).alias("label"), run.alias("planted"), before.alias("before"), after.alias("after"))) for k, (label, run, before, after) in enumerate(cases)])
+    # inside a lambda the many cases are evaluated as they stand; as generated code they would pass a method's limit
+    made = spark.range(rows).select(kind.alias("kind"), F.transform(F.array(F.lit(0)), lambda _: parts)[0].alias("x")).select("kind", "x.*")
+    texts = made.select("kind", "planted", "label", F.concat("before", "planted", "after").alias("text"))
+    found = _cut(texts, "runs", "gaps").select("kind", "planted", "label", F.posexplode("runs").alias("i", "run"), "runs", "gaps")
+    i = F.col("i")
+    label = F.when(F.col("run") == F.col("planted"), F.col("label")).otherwise(0)
+    return found.select("run", _before(F.col("runs"), F.col("gaps"), i).alias("before"), _after(F.col("runs"), F.col("gaps"), i).alias("after"), label.alias("label"), F.col("kind").cast("int").alias("kind"))
 
 
 _LINE = re.compile(r"^(\s*)(?:(If|Else) \(feature (\d+) (<=|>) ([-\d.E]+)\)|Predict: ([-\d.E]+))")
@@ -205,18 +245,28 @@ def _flatten(tree: str, depth: int) -> tuple[list[int], list[float], list[float]
     return feature, cut, leaf
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> FlatForest:
-    """Fit a random forest on labelled findings (run, before, after, label)."""
+def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH):
+    """MLlib's random forest of labelled findings (run, before, after, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = findings.select(array_to_vector(features(F.col("run"), F.col("before"), F.col("after"))).alias("features"), F.col("label").cast("double").alias("label")).coalesce(2)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird", maxBins=32).fit(rows)
+    made = findings.select(features(F.col("run"), F.col("before"), F.col("after")).alias("features"), F.col("label").cast("double").alias("label"))
+    rows = Scratch(findings.sparkSession, "findings").keep(made, "features").select(array_to_vector("features").alias("features"), "label").coalesce(2)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird", maxBins=32).fit(rows)
+
+
+def flatten(model, depth: int = DEPTH) -> FlatForest:
+    """The trees of MLlib's model as flat arrays."""
     parts = re.split(r"\n\s*Tree \d+ \(weight [-\d.E]+\):\n", model.toDebugString)[1:]
     flat = [_flatten(p, depth) for p in parts]
     return FlatForest(depth, *[[x for tree in flat for x in tree[k]] for k in range(3)])
 
 
+def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> FlatForest:
+    """Fit a random forest on labelled findings and flatten it."""
+    return flatten(fit(findings, trees, depth), depth)
+
+
 def vote(forest: FlatForest, x: Column) -> Column:
     """Share of trees that call the finding with feature array x a secret."""
     inner = (1 << forest.depth) - 1
@@ -233,38 +283,56 @@ def vote(forest: FlatForest, x: Column) -> Column:
     return F.aggregate(votes, F.lit(0.0), lambda a, v: a + v) / trees
 
 
-def _scored(docs: DataFrame, forest: FlatForest, threshold: float) -> DataFrame:
-    """docs with __gaps (text between candidates) and __found (run, score, secret)."""
+def _cut(docs: DataFrame, runs: str, gaps: str) -> DataFrame:
+    """docs with their candidates and the text between them (null without candidates)."""
     text = F.col("text")
     some = text.rlike(CANDIDATE)
-    rows = docs.withColumn("__runs", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))).withColumn("__gaps", F.when(some, F.split(text, CANDIDATE, -1)))
-    described = F.transform("__runs", lambda r, i: F.struct(r.alias("run"), features(r, F.col("__gaps")[i], F.col("__gaps")[i + 1]).alias("x")))
-    rows = rows.withColumn("__found", described)
-    scored = F.transform("__found", lambda f: F.struct(f["run"].alias("run"), vote(forest, f["x"]).alias("score")))
-    return rows.withColumn("__found", scored).withColumn("__found", F.transform("__found", lambda f: F.struct(f["run"].alias("run"), f["score"].alias("score"), (f["score"] >= threshold).alias("secret"))))
+    return docs.withColumns({runs: F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), gaps: F.when(some, F.split(text, CANDIDATE, -1))})
+
+
+def _before(runs: Column, gaps: Column, i: Column) -> Column:
+    """The candidate before the i-th and the text between them."""
+    return F.concat(F.when(i > 0, F.get(runs, i - 1)).otherwise(""), F.get(gaps, i))
+
+
+def _after(runs: Column, gaps: Column, i: Column) -> Column:
+    return F.concat(F.get(gaps, i + 1), F.coalesce(F.get(runs, i + 1), F.lit("")))
+
+
+def _scored(docs: DataFrame, forest: FlatForest, threshold: float, gaps: str, found: str) -> DataFrame:
+    """docs with gaps (text between candidates) and found (run, score, secret)."""
+    runs, tails, heads = fresh(docs.withColumns({gaps: F.lit(0), found: F.lit(0)}), "runs", "tails", "heads")
+    rows = _cut(docs, runs, gaps)
+    around = lambda part, end: F.transform(runs, lambda _, i: end(part(F.col(runs), F.col(gaps), i)))
+    rows = rows.withColumns({tails: around(_before, _tail), heads: around(_after, _head)})
+    described = F.transform(runs, lambda r, i: F.struct(r.alias("run"), _features(r, F.get(tails, i), F.get(heads, i)).alias("x")))
+    rows = rows.withColumn(found, described)
+    rows = rows.withColumn(found, F.transform(found, lambda f: F.struct(f["run"].alias("run"), vote(forest, f["x"]).alias("score"))))
+    return rows.withColumn(found, F.transform(found, lambda f: F.struct(f["run"].alias("run"), f["score"].alias("score"), (f["score"] >= threshold).alias("secret"))))
 
 
 def scan(docs: DataFrame, forest: FlatForest, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_candidates, n_secrets and secrets (start, stop, score, sha256), one row per document."""
-    rows = _scored(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), forest, threshold)
+    rows = _scored(only(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string")), forest, threshold, "gaps", "found")
     kind = "array<struct<start:int,stop:int,score:double,sha256:string>>"
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, f: Column) -> Column:
-        begin = acc["at"] + F.length(F.col("__gaps")[acc["i"]])
+        begin = acc["at"] + F.length(F.col("gaps")[acc["i"]])
         stop = begin + F.length(f["run"])
         one = F.array(F.struct(begin.alias("start"), stop.alias("stop"), f["score"].alias("score"), F.sha2(f["run"], 256).alias("sha256")))
         return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), F.when(f["secret"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    secrets = F.coalesce(F.aggregate("__found", start, step, lambda acc: acc["out"]), F.array().cast(kind))
-    count = F.coalesce(F.size("__found"), F.lit(0))
+    secrets = F.coalesce(F.aggregate("found", start, step, lambda acc: acc["out"]), F.array().cast(kind))
+    count = F.coalesce(F.size("found"), F.lit(0))
     return rows.select("doc_id", F.greatest(count, F.lit(0)).alias("n_candidates"), secrets.alias("secrets")).select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets")
 
 
 def redact(docs: DataFrame, forest: FlatForest, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """docs with every secret in text replaced by mask; columns and rows stay."""
-    rows = _scored(docs, forest, threshold)
-    parts = F.transform("__found", lambda f, i: F.concat(F.when(f["secret"], F.lit(mask)).otherwise(f["run"]), F.col("__gaps")[i + 1]))
-    clean = F.concat(F.col("__gaps")[0], F.array_join(parts, ""))
-    changed = F.exists("__found", lambda f: f["secret"])
+    gaps, found = fresh(docs, "gaps", "found")
+    rows = _scored(docs, forest, threshold, gaps, found)
+    parts = F.transform(found, lambda f, i: F.concat(F.when(f["secret"], F.lit(mask)).otherwise(f["run"]), F.col(gaps)[i + 1]))
+    clean = F.concat(F.col(gaps)[0], F.array_join(parts, ""))
+    changed = F.exists(found, lambda f: f["secret"])
     return rows.withColumn("text", F.when(changed, clean).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
