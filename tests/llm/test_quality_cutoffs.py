@@ -40,7 +40,7 @@ def test_the_path_has_useful_steps_with_the_least_harm_first():
 def test_verdicts_equal_a_plain_recount(spark):
     rng = np.random.default_rng(4)
     good = [BASE + " " + " ".join(f"w{i}x{j}" for j in range(30)) + " #" * int(rng.integers(0, 3)) for i in range(900)]
-    bad = [" ".join(f"b{i}y{j}" + "$" * int(rng.integers(0, 4)) for j in range(60)) for i in range(90)]
+    bad = [" ".join(f"b{j} " + "$" * int(rng.integers(1, 4)) for j in range(60)) + f" {i}" for i in range(90)]
     bad[::2] = [" ".join(f"b{i}y{j}" + "long" * 6 for j in range(60)) for i in range(0, 90, 2)]
     docs = documents(spark, good + bad + odd_texts(), extra=True).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.lit("en")))
     labels = spark.createDataFrame([(i, int(i < 900), 0) for i in range(990)], "doc_id long, quality int, toxic int")
