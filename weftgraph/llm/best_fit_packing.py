@@ -65,7 +65,8 @@ class WordIds:
     64-bit hash and remembered in a bounded cache. New words of plain
     characters are split into the rule's pre-tokens and merged many at a time
     by the same ranks (the mark that ends a pre-token is one more byte, merged
-    first); all others go through the tokenizer one by one.
+    first); all others go through the tokenizer one by one, words that hold an
+    added token such as an end marker too.
     """
 
     def __init__(self, path: str, suffix: str = "</w>") -> None:
@@ -73,7 +74,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(not t.content or t.single_word or re.search(r"\s", t.content) for t in added):
+            raise ValueError("added tokens that depend on what stands around them are not supported")
+        marks = "|".join(re.escape(t.content) for t in added)
+        self.marked = re.compile(marks, re.IGNORECASE).search if marks else lambda word: None
         byte_of = _byte_of()
         ranks: dict[bytes, int] = {}
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -90,7 +95,7 @@ class WordIds:
         self.ids, self.offset = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        plain = [k for k, word in enumerate(words) if _PLAIN(word)]
+        plain = [k for k, word in enumerate(words) if _PLAIN(word) and not self.marked(word)]
         chosen = set(plain)
         rest = [k for k in range(len(words)) if k not in chosen]
         coded = np.zeros(0, "<u4")
