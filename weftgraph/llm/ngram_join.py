@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .bloom import filter_of, held
-from .runtime import Scratch, bounded_batches, only
+from .runtime import Scratch, bounded_batches, fresh, only
 from .wordhash import _BASES, mix, runs, split_words, window_hashes, word_hashes
 
 WORDS = 5
@@ -234,7 +234,7 @@ _STORED = pa.schema([("batch", pa.int64()), ("nodes", pa.binary()), ("sizes", pa
 SETS_A_BATCH = 400
 
 
-def _chosen_sets(bits: np.ndarray, words: int):
+def _chosen_sets(bits: np.ndarray | None, words: int):
     """Sets of the documents in the filter, stored in numbered batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,7 +561,10 @@ def _components_of(docs: DataFrame, words: int) -> DataFrame:
     first = scratch.keep(owners.join(counted.where("shared > 0"), "node").where(F.col("shared") >= 1 + F.floor(smallest / 20)), "first")
 
     # 2: whole sets of those with a cost
-    bits = filter_of(first.select(F.coalesce("doc_id", F.lit(0)).alias("key")))
+    some = first.select(F.coalesce("doc_id", F.lit(0)).alias("key"))
+    bits = filter_of(some)
+    if bits is None:  # too many for a filter
+        rows = rows.join(some.distinct(), F.coalesce(F.col("doc_id"), F.lit(0)) == F.col("key"), "left_semi")
     sets = scratch.keep(rows.mapInArrow(_chosen_sets(bits, words), "batch long, nodes binary, sizes binary, grams binary"), "sets")
     buckets = _buckets(first.count())
     told = sets.mapInArrow(_token_counts(buckets), _POSTED).groupBy("bucket").applyInArrow(_frequencies, _POSTED)
@@ -611,10 +614,11 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x")
     chosen = named.where("component is not null").groupBy("component").agg(first)
     blank = named.where("component is null").select("doc_id", "mark", F.lit(None).cast("long").alias("component"))
-    kept = chosen.select("x.doc_id", "x.mark", "component").union(blank).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("component").alias("__component")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_mark("text") == F.col("__mark"))
+    key, mark, group = fresh(docs, "id", "mark", "component")
+    kept = chosen.select("x.doc_id", "x.mark", "component").union(blank).select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("component").alias(group)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_mark("text") == F.col(mark))
     out = docs.join(kept, same)
     if named.where("component is not null").groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
         # equal rows of one doc_id: all but one go, and blank texts stay as they are
-        out = out.where("__component is null").union(out.where("__component is not null").dropDuplicates(["__component"]))
+        out = out.where(F.col(group).isNull()).union(out.where(F.col(group).isNotNull()).dropDuplicates([group]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

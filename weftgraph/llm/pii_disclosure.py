@@ -18,9 +18,10 @@ threshold alone decides.
 Scale: one pass over the texts finds mentions; texts with one are kept apart.
 As n(c,t) <= n(c), a term tells nothing where n(t) > N^(1-theta) n(c)^theta, so
 words common among the texts with mentions go first. n(t) is counted over every
-document, but only for the words left: a Bloom filter of fixed size (1 MB) picks
-them where the texts are read, and after the same test a second one picks the
-places of the rest; exact joins follow, so false hits only cost time. Pairs are
+document, but only for the words left: a Bloom filter of bounded size picks them
+where the texts are read (all words count if there are too many for one), and
+after the same test a second one picks the places of the rest; exact joins
+follow, so false hits only cost time. Pairs are
 counted by partial aggregates, and entities of one document need no pairs: there
 n(c,t) is 1. No step holds the terms of all documents.
 
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_of, held
-from .runtime import Scratch, bounded_batches, only
+from .runtime import Scratch, bounded_batches, fresh, only
 from .wordhash import split_words, word_hashes
 
 # fixed values: the base kinds, in order
@@ -136,7 +137,7 @@ def outside(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int,
         last = max(last, b)
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<bigint>, text string"
+_FOUND = "row long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<bigint>, text string"
 _PLACES = "row long, term long, start int, stop int"
 
 
@@ -157,7 +158,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined.append(written)
             entities.append(sorted({_key(f"{KINDS[k]}:{_value(k, text[a:b])}") for k, a, b in spans}))
             texts.append(text if spans else None)
-        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(joined, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "entities", "text"])
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["text_key"], *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(joined, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["row", "doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "entities", "text"])
 
 
 def _placer(bits: np.ndarray):
@@ -225,11 +226,16 @@ def _counter(bits: np.ndarray | None = None):
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
-    return only(docs, doc_id="doc_id", text="text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return only(docs, doc_id="doc_id", text="text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _text_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+
+
+def _text_key(text: str) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def find(docs: DataFrame, least_together: int = LEAST_TOGETHER, theta: float = THETA) -> DataFrame:
-    """Per row of docs: doc_id, counts by kind, base_sha256, spans (base and term spans)."""
+    """Per row of docs: doc_id, text_key (the text's hash), counts by kind, base_sha256, spans (base and term spans)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "pii")
@@ -264,7 +270,7 @@ def find(docs: DataFrame, least_together: int = LEAST_TOGETHER, theta: float = T
     extra = places.join(told, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
     written = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(f"{TERM}:"), t["start"].cast("string"), F.lit(":"), t["stop"].cast("string"))), ",")
     spans = F.concat_ws(",", F.nullif("spans", F.lit("")), written)
-    return found.drop("entities", "text").join(extra, "row", "left").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    return found.drop("entities", "text").join(extra, "row", "left").select("doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
 
 
 def sanitise_text(text: str | None, spans: str | None) -> str | None:
@@ -284,15 +290,20 @@ def sanitise_text(text: str | None, spans: str | None) -> str | None:
 
 
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with spans masked in text; found is find()'s result, doc_id unique in both."""
+    """docs with spans masked in text; found is find()'s result for docs. Rows and other columns stay."""
+    marks, key, text_key = fresh(docs, "spans", "key", "text_key")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [sanitise_text(t, s) for t, s in zip(batch.column(at).to_pylist(), batch["__spans"].to_pylist(), strict=True)]
+            texts = [sanitise_text(t, s) for t, s in zip(batch.column(at).to_pylist(), batch[marks].to_pylist(), strict=True)]
             out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield out.drop_columns(["__spans"])
-
-    spans = found.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
-    return joined.mapInArrow(run, docs.schema)
+            yield out.drop_columns([marks])
+
+    # equal texts have equal spans, so one row for each doc_id and text is enough
+    spans = found.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.first("spans").alias(marks))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_text_key("text") == F.col(text_key))
+    joined = docs.join(spans, same, "left").drop(key, text_key)
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    fields = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema, strict=True))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], marks).toDF(*plain, marks).mapInArrow(run, fields).toDF(*docs.columns)

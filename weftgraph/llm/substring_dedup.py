@@ -14,17 +14,21 @@ division of a text into blocks, so:
    so whether a smaller document has a window follows from the batches that
    hold it and, within a batch, from the rows.
 
-Scale: a probe is 5 bytes: 32 bits of hash within its range (there are as many
-ranges as the input asks for, so false hits stay at one in 30,000, and cost
-work, not results) and the document's number in its batch. A window's digest is
+Scale: a probe is 5 bytes: 32 bits of hash within its range and the document's
+number in its batch. There are as many ranges as the bytes of all texts ask for,
+so that a range's group stays at some megabytes however long the texts are, and
+false hits (which cost work, not results) at one in 30,000. A window's digest is
 56 bits within its range. A run or window is sent once a batch however often it
 occurs there, so no hot passage gathers in one task. Texts without hits are not
-moved at all; others move once.
+moved at all while a filter of bounded size can hold the ids of the others; those
+move once. Rows that share a doc_id, however many, fill batches of their own.
 
 Defined results: null, empty and wordless texts have no words. Rows that share
 a doc_id never remove each other's words; identical rows give identical rows. A
-null doc_id counts as larger than any other. Other columns are ignored by
-deduplicated() and kept by remove_repeats(). An empty table gives no rows.
+null doc_id counts as larger than any other (as do the last 2^40 numbers, which
+stand for nulls, dealt out by their texts). A text longer than any batch is one
+by itself. Other columns are ignored by deduplicated() and kept by
+remove_repeats(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,23 +39,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_of, held
-from .runtime import Scratch, bounded_batches, only
+from .runtime import Scratch, bounded_batches, fresh, only
 from .wordhash import Words, runs, split_words, window_hashes, word_hashes
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 DOCS_A_BATCH = 256
-DOCS_A_RANGE = 2500
+#: Bytes of text whose runs share a hash range.
+BYTES_A_RANGE = 4 << 20
 _LAST = (1 << 63) - 1
+#: Null ids are dealt over the numbers from here on, which all count as one.
+_NULLS = 1 << 40
+_NULL_ID = _LAST - _NULLS
 
 
-def _ranges(docs: int) -> int:
-    """Bits that number the hash ranges."""
-    return max(4, math.ceil(math.log2(max(1, docs / DOCS_A_RANGE))))
+def _ranges(size: int) -> int:
+    """Bits that number the hash ranges of so many bytes of text."""
+    return min(24, max(4, math.ceil(math.log2(max(1, size / BYTES_A_RANGE)))))
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """Ids in their order: all that stand for nulls are equal and last."""
+    return np.minimum(ids, _NULL_ID)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -73,7 +86,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_LAST).to_numpy(zero_copy_only=False)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _probes(bits: int):
@@ -167,7 +180,7 @@ def _hits_of(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(_HITS, out)])
 
 
-def _texts_held(bits: np.ndarray):
+def _texts_held(bits: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.filter(pa.array(held(bits, _ids(batch["doc_id"]))))
@@ -183,37 +196,44 @@ _STORED = pa.schema([("batch", pa.int64()), ("low", pa.int64()), ("body", pa.bin
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Put rows that come by doc_id, hits before texts, into stored batches.
 
-    A batch ends between two ids only.
+    A batch ends between two ids, or holds rows of a single one: so no batch
+    has an id of another and a larger one.
     """
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
     held_rows: list[tuple[int, bytes, str]] = []
-    last, hits, size = None, [], 0
+    last, hits, size, single = None, {}, 0, False
 
-    def pack() -> pa.RecordBatch:
+    def pack(rows: list[tuple[int, bytes, str]]) -> pa.RecordBatch:
         nonlocal number
-        table = _rows(_GROUP, held_rows)
+        table = _rows(_GROUP, rows)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _GROUP, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
             writer.write_batch(table)
         number += 1
-        return _rows(_STORED, [(number - 1, held_rows[0][0], sink.getvalue().to_pybytes())])
+        return _rows(_STORED, [(number - 1, int(_rank(np.array(rows[0][0]))), sink.getvalue().to_pybytes())])
 
     for batch in batches:
         for doc, hit, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "hits", "text")), strict=True):
+            full = len(held_rows) >= DOCS_A_BATCH or size > 8 << 20
             if doc != last:
-                if len(held_rows) >= DOCS_A_BATCH or size > 8 << 20:
-                    yield pack()
-                    held_rows, size = [], 0
-                last, hits = doc, []
+                if held_rows and (full or single):
+                    yield pack(held_rows)
+                    held_rows, size, single = [], 0, False
+                last, hits = doc, {}
+            elif full and text:  # an id with more rows than a batch takes
+                for rows in ([r for r in held_rows if r[0] != doc], [r for r in held_rows if r[0] == doc]):
+                    if rows:
+                        yield pack(rows)
+                held_rows, size, single = [], 0, True
             if hit is not None:
-                hits.append(hit)
+                hits[hit] = None  # equal texts have equal hits
             elif hits and text:
                 held_rows.append((doc, b"".join(hits), text))
                 size += len(text)
     if held_rows:
-        yield pack()
+        yield pack(held_rows)
 
 
 class _Windows:
@@ -237,7 +257,7 @@ class _Windows:
         at, digests = window_hashes(hashes, w.first, WINDOW, seed=1)
         chosen = wanted[at]
         self.at, digests = at[chosen], digests[chosen]
-        self.doc = self.ids[np.searchsorted(w.first, self.at, "right") - 1]
+        self.doc = _rank(self.ids)[np.searchsorted(w.first, self.at, "right") - 1]
         self.distinct, self.group = np.unique(digests, return_inverse=True)
         low = np.full(len(self.distinct), _LAST, np.int64)
         np.minimum.at(low, self.group, self.doc)
@@ -320,22 +340,27 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         w = split_words(batch["text"])
         digests = [hashlib.sha256(x).hexdigest() for x in joined_words(w, np.ones(len(w.start), bool))]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(w.first)), pa.array(digests, pa.string())], names=["doc_id", "n_words", "whole_sha256"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], pa.array(np.diff(w.first)), pa.array(digests, pa.string())], names=["doc_id", "id", "n_words", "whole_sha256"])
+
+
+def _id(doc_id: str, text: str) -> Column:
+    """A doc_id that is never null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST) - F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(_NULLS)))
 
 
 def _removals(docs: DataFrame, with_text: bool) -> tuple[DataFrame, Scratch]:
-    """doc_id (null: the largest), whole_sha256, n_removed, kept_sha256, kept: texts that lose words."""
+    """doc_id (null: a number of its own), whole_sha256, n_removed, kept_sha256, kept: texts that lose words."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "substring")
-    rows = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = _ranges(docs.count())
+    rows = only(docs, doc_id="doc_id", text="text").select(_id("doc_id", "text").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = _ranges(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     sent = rows.mapInArrow(_probes(bits), "range long, batch long, blob binary")
     told = sent.groupBy("range").applyInArrow(_meet, "kind long, batch long, blob binary")
     hits = scratch.keep(told.groupBy("batch").applyInArrow(_hits_of, "doc_id long, hits binary"), "hits")
 
-    # texts meet their hits by ranges of ids; both kinds of row are sorted together
+    # texts meet their hits by ranges of ids; both kinds of row are sorted together (without a filter all texts come, and those without hits go there)
     texts = rows.mapInArrow(_texts_held(filter_of(hits.select(F.col("doc_id").alias("key")))), "doc_id long, hits binary, text string")
     both = hits.select("doc_id", "hits", F.lit(None).cast("string").alias("text")).union(texts)
     ordered = both.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.col("hits").isNull(), "text")
@@ -352,10 +377,9 @@ def _removals(docs: DataFrame, with_text: bool) -> tuple[DataFrame, Scratch]:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
     changed, _ = _removals(docs, False)
-    rows = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = rows.mapInArrow(_base, "doc_id long, n_words long, whole_sha256 string")
-    changed = changed.select(F.col("doc_id").alias("id"), F.col("whole_sha256").alias("whole"), "n_removed", "kept_sha256")
-    joined = base.join(changed, (F.coalesce("doc_id", F.lit(_LAST)) == F.col("id")) & (F.col("whole_sha256") == F.col("whole")), "left")
+    rows = only(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), _id("doc_id", "text").alias("id"), F.col("text").cast("string").alias("text"))
+    base = rows.mapInArrow(_base, "doc_id long, id long, n_words long, whole_sha256 string")
+    joined = base.join(changed.select(F.col("doc_id").alias("id"), "whole_sha256", "n_removed", "kept_sha256"), ["id", "whole_sha256"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
@@ -365,9 +389,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A text that loses words has the rest joined by single spaces.
     """
     changed, _ = _removals(docs, True)
-    kept = changed.select(F.col("doc_id").alias("__id"), F.col("whole_sha256").alias("__whole"), F.decode("kept", "UTF-8").alias("__kept"))
+    key, whole, left = fresh(docs, "id", "whole", "kept")
+    kept = changed.select(F.col("doc_id").alias(key), F.col("whole_sha256").alias(whole), F.decode("kept", "UTF-8").alias(left))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     # rows of one doc_id are told apart by their words
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("__id")) & (F.sha2(F.array_join(words, " "), 256) == F.col("__whole"))
+    same = (_id("doc_id", "text") == F.col(key)) & (F.sha2(F.array_join(words, " "), 256) == F.col(whole))
     joined = docs.join(kept, same, "left")
-    return joined.withColumn("text", F.coalesce("__kept", "text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn("text", F.coalesce(F.col(left), F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
