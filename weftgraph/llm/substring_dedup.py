@@ -50,7 +50,7 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 DOCS_A_BATCH = 256
 #: Bytes of text whose runs share a hash range.
-BYTES_A_RANGE = 4 << 20
+BYTES_A_RANGE = 8 << 20
 _LAST = (1 << 63) - 1
 #: Null ids are dealt over the numbers from here on, which all count as one.
 _NULLS = 1 << 40
