@@ -61,7 +61,7 @@ from .wordhash import _BASES, mix, runs, split_words, window_hashes, word_hashes
 
 WORDS = 5
 #: Nodes a hash bucket serves, on average.
-NODES_A_BUCKET = 2500
+NODES_A_BUCKET = 800
 _MULTI = 0xFFFF
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -513,21 +513,34 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j]))], schema=schema)
 
 
+#: Parts that a hub's nodes are dealt over where they learn about their group.
+SALTS = 32
+
+
+def _groups(grouped: DataFrame) -> DataFrame:
+    """h, main, blocks, odd_blocks of the hubs with nodes that the hub's component lacks."""
+    parts = grouped.groupBy("hub", "component").agg(F.count("*").alias("size"), F.max(F.col("node") == F.col("hub")).alias("main"))
+    hubs = parts.groupBy(F.col("hub").alias("h")).agg(F.sum("size").alias("size"), F.max(F.when(F.col("main"), F.col("component"))).alias("main"), F.max(F.when(F.col("main"), F.col("size"))).alias("n_main"))
+    hubs = hubs.withColumn("n_odd", F.col("size") - F.coalesce("n_main", F.lit(0))).where("n_odd > 0 AND size > 1")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_NODES).cast("int")
+    return hubs.select("h", "main", blocks("size").alias("blocks"), blocks("n_odd").alias("odd_blocks"))
+
+
 def _group_links(grouped: DataFrame) -> DataFrame:
     """Links inside each hub's group of the nodes that the hub's component lacks.
 
     They meet all nodes of the group in pairs of blocks, so that no task holds
-    more than two blocks and no pair is written but a link.
+    more than two blocks and no pair is written but a link. A node is copied
+    once for each block of such nodes, these once for each block of all. Sets
+    are dealt by hub and a salt, then by hub and pair of blocks.
     """
-    main = grouped.select(F.col("node").alias("h"), F.col("component").alias("main"))
-    sizes = grouped.groupBy(F.col("hub").alias("h")).agg(F.count("*").alias("size"))
-    rows = grouped.join(main, F.col("hub") == F.col("h"), "left").drop("h").withColumn("odd", ~F.col("component").eqNullSafe(F.col("main")))
-    some = rows.where("odd").select(F.col("hub").alias("h")).distinct().join(sizes.where("size > 1"), "h")
-    rows = rows.join(some, F.col("hub") == F.col("h")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_NODES).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("hub", "node", "n", "component", "grams", "odd", "blocks", "own")
-    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where("odd").withColumn("i", F.col("own")).withColumn("j", spread)
-    right = rows.withColumn("j", F.col("own")).withColumn("i", spread)
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    groups = _groups(grouped).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = grouped.withColumn("salt", salt).join(groups, (F.col("hub") == F.col("h")) & (F.col("salt") == F.col("s")))
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n)).cast("int")
+    rows = rows.withColumn("odd", ~F.col("component").eqNullSafe(F.col("main")))
+    left = rows.where("odd").withColumn("i", part("odd_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = rows.withColumn("j", part("blocks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
     columns = ["hub", "i", "j", "node", "n", "component", "grams"]
     left = left.select(columns)
     right = right.select([F.col(c).alias(c) for c in columns])  # fresh columns: both sides come from one table
