@@ -16,7 +16,9 @@ Scale: narrow, one pass, no shuffle; a worker's memory is the model plus a
 bounded cache of pre-tokens.
 
 Defined results: a null text counts as empty; no tokens, and the hashes of the
-empty string. Repeated rows give repeated results. Other columns are ignored.
+empty string. Repeated rows give repeated results. Texts of any length are
+encoded whole. Merges have distinct ranks, so nothing ties. Other columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

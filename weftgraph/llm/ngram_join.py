@@ -513,10 +513,6 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j]))], schema=schema)
 
 
-#: Parts that a hub's nodes are dealt over where they learn about their group.
-SALTS = 32
-
-
 def _groups(grouped: DataFrame) -> DataFrame:
     """h, main, blocks, odd_blocks of the hubs with nodes that the hub's component lacks."""
     parts = grouped.groupBy("hub", "component").agg(F.count("*").alias("size"), F.max(F.col("node") == F.col("hub")).alias("main"))
@@ -531,12 +527,11 @@ def _group_links(grouped: DataFrame) -> DataFrame:
 
     They meet all nodes of the group in pairs of blocks, so that no task holds
     more than two blocks and no pair is written but a link. A node is copied
-    once for each block of such nodes, these once for each block of all. Sets
-    are dealt by hub and a salt, then by hub and pair of blocks.
+    once for each block of such nodes, these once for each block of all. The
+    join by hub has nothing but its two exchanges below it and none above, so
+    that adaptive execution splits a hub that holds much of the rows.
     """
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    groups = _groups(grouped).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = grouped.withColumn("salt", salt).join(groups, (F.col("hub") == F.col("h")) & (F.col("salt") == F.col("s")))
+    rows = grouped.join(_groups(grouped), F.col("hub") == F.col("h"))
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n)).cast("int")
     rows = rows.withColumn("odd", ~F.col("component").eqNullSafe(F.col("main")))
     left = rows.where("odd").withColumn("i", part("odd_blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -26,8 +26,9 @@ counted by partial aggregates, and entities of one document need no pairs: there
 n(c,t) is 1. No step holds the terms of all documents.
 
 Defined results: a null text is an empty one, without spans. Rows that repeat
-count as documents of their own. Ties need no order: all counts are sums. Other
-columns are ignored. An empty table gives no rows.
+count as documents of their own. Ties need no order: all counts are sums. Texts of any
+length are searched and counted whole. Other columns are ignored by find() and
+kept by sanitise(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import filter_of, held
-from .runtime import Scratch, bounded_batches, fresh, only
+from .runtime import Scratch, bounded_batches, fresh, map_texts, only
 from .wordhash import split_words, word_hashes
 
 # fixed values: the base kinds, in order
@@ -292,18 +293,13 @@ def sanitise_text(text: str | None, spans: str | None) -> str | None:
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with spans masked in text; found is find()'s result for docs. Rows and other columns stay."""
     marks, key, text_key = fresh(docs, "spans", "key", "text_key")
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [sanitise_text(t, s) for t, s in zip(batch.column(at).to_pylist(), batch[marks].to_pylist(), strict=True)]
-            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield out.drop_columns([marks])
+    def change(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        last = batch.num_columns - 1
+        texts = [sanitise_text(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).remove_column(last)
 
     # equal texts have equal spans, so one row for each doc_id and text is enough
     spans = found.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.first("spans").alias(marks))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (_text_key("text") == F.col(text_key))
-    joined = docs.join(spans, same, "left").drop(key, text_key)
-    plain = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
-    fields = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, docs.schema, strict=True))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], marks).toDF(*plain, marks).mapInArrow(run, fields).toDF(*docs.columns)
+    return map_texts(docs.join(spans, same, "left").drop(key, text_key), change, marks)

@@ -14,7 +14,10 @@ Defined results: a null text is an empty one and gets the score of a text whose
 counts are all zero. A document with several labels counts with the smallest;
 labels that are null or belong to no document are left out. Without any usable
 label, or with one class only, every score is the smoothed share of label 1 (0.5
-without labels). Rows that repeat are scored each. Other columns are ignored.
+without labels). Rows that repeat are scored each. Texts of any length are counted
+whole. Splits of equal gain go to the first statistic and the lowest cut, and a
+value that equals a cut goes left. Other columns are ignored by score() and kept
+by keep_good(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .doc_stats import FEATURES, features, statistics
-from .runtime import bounded_batches, only
+from .runtime import bounded_batches, map_texts, only
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
@@ -146,9 +149,7 @@ def keep_good(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) ->
     """The rows of docs that score at least the threshold, all columns unchanged."""
     bounded_batches(docs.sparkSession, megabytes=4)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array(forest.score(features(statistics(texts))) >= threshold))
+    def change(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        return batch.filter(pa.array(forest.score(features(statistics(batch.column(at)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, change)

@@ -21,7 +21,9 @@ its own row. The forest is a literal of about 100 kB.
 
 Defined results: a null text has no candidates and stays null when redacted; so
 does an empty one stay empty. Repeated rows are scanned each. Other columns are
-kept by redact() and ignored by scan(). An empty table gives no rows.
+kept by redact() and ignored by scan(). Texts and candidates of any length are
+read whole. A score that equals the threshold is a secret. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ that; everything else moves ids and digests only. All work is JVM-side.
 Defined results: a null payload is an empty one. A null id counts as smaller
 than any other and is written as an empty record id. Rows that repeat both id
 and payload are records of the same kind, so all rows that hold a group's
-largest id are responses. Columns other than the three named are ignored. An
+largest id are responses. Payloads of any length are stored whole. Columns other than the three named are ignored. An
 empty table makes an empty archive.
 """
 
