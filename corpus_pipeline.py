@@ -2,7 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the
 stage before kept. All but the last return the columns of ``documents``.
-doc_id is the key of ``documents``: unique and not null.
+
+Defined results: doc_id is meant to be the key of ``documents``. Rows without one,
+and rows that share one, are documents of their own in all stages, but equal rows
+count as copies and one of them stays. A null text is an empty one: the classifier
+judges it by counts of zero, it has no near copies, and it is packed as an end
+mark. Texts of any length go through whole. Ties between copies go to the smallest
+doc_id. Further columns are carried along, whatever their names, and n_chars is
+brought in line where there is one. Empty tables give no rows; without labels the
+classifier's score is 0.5 for all, below the cutoff, so nothing is kept.
 """
 
 from __future__ import annotations
@@ -26,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """docs with n_chars brought in line with a changed text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """docs with n_chars, if there is one, brought in line with a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
