@@ -46,3 +46,25 @@ def test_packed_rows_of_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_further_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n))
+    texts = [fresh(40) for _ in range(60)] + [" ".join(f"T{i}U{j}!! ***" for j in range(40)).upper() for i in range(30)]
+    rows = [(i, t, f"x{i}") for i, t in enumerate(texts)] + [(None, fresh(40), "n"), (None, None, "e"), (3, fresh(40), "again"), (5, texts[5], "x5"), (200, None, "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, node string").selectExpr("*", "node AS `__id`", "1 AS runs").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = kept.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, kept, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(f"{tmp_path}/kept-{k}")
+        kept = spark.read.parquet(f"{tmp_path}/kept-{k}")
+    got = kept.collect()
+    assert all(r.node == r["__id"] and r.runs == 1 for r in got) and {r.node for r in got} >= {f"x{i}" for i in range(60)} | {"n", "again"}
+    assert sum(r.doc_id == 5 for r in got) == 1 and sum(r.doc_id == 3 for r in got) == 2
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(got)
