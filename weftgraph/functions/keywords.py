@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 # fixed values: numbers with an optional qualifier, range and unit
 NUMBER = r"(?i)(?:约|大约|接近|超过|低于|小于|大于)?\d+(?:\.\d+)?(?:\s*[-~至到]\s*\d+(?:\.\d+)?)?(?:\s*[%％℃°CKGhμn²³]|MPa|GPa|mm|nm|wt\.?%|at\.?%|vol\.?%)?"
 # fixed values: chemical formulas and alloy names
-_ELEMENT = "(?:Ni|Co|Fe|Cr|Mo|W|Re|Ru|Ta|Ti|Al|Nb|V|Hf|Zr|B|C|Y|La|Ce)"
-ALLOY = rf"(?i){_ELEMENT}\d*(?:[.\d]*)?(?:\s*[-_]?\s*{_ELEMENT}\d*(?:[.\d]*)?)*|(?:IN|CMSX|RR|TMS|PWA|René|Waspaloy|Inconel|Hastelloy|Mar-M|Udimet|Nimonic)[\s\-]?\d+[A-Za-z]*"
+ALLOY = (
+    r"(?i)(?:Ni|Co|Fe|Cr|Mo|W|Re|Ru|Ta|Ti|Al|Nb|V|Hf|Zr|B|C|Y|La|Ce)\d*(?:[.\d]*)?(?:\s*[-_]?\s*(?:Ni|Co|Fe|Cr|Mo|W|Re|Ru|Ta|Ti|Al|Nb|V|Hf|Zr|B|C|Y|La|Ce)\d*(?:[.\d]*)?)*"
+    r"|(?:IN|CMSX|RR|TMS|PWA|René|Waspaloy|Inconel|Hastelloy|Mar-M|Udimet|Nimonic)[\s\-]?\d+[A-Za-z]*"
+)
 # fixed values: technical terms
 TERMS = (
     "γ相", "γ'相", "γ\"相", "gamma", "gamma prime", "δ相", "σ相", "μ相", "P相", "TCP相", "拓扑密排相", "FCC", "BCC", "HCP",

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from ..scratch import Scratch
+from .ordered import running_total
 
 
 def transitions(edges: DataFrame, weight: str = "weight") -> DataFrame:
@@ -51,9 +50,7 @@ def personalised_pagerank(edges: DataFrame, scores: DataFrame, alpha: float = 0.
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """id, hop (0 for seeds) of all nodes within that many undirected steps."""
     scratch = Scratch(edges.sparkSession, "hops")
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    if hops > 1:
-        both = scratch.keep(both.distinct(), "both")
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))  # only edges of the frontier are made distinct
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
@@ -138,8 +135,8 @@ def typed_edges(edges: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif("description", F.lit("")), F.nullif("relationship", F.lit("")), F.lit("unknown"))
     weight = F.coalesce(F.col("composite").cast("double") if "composite" in edges.columns else F.lit(None), F.col("weight").cast("double"), F.lit(1.0))
     rows = edges.withColumn("edge_type", kind).withColumn("edge_weight", weight)
-    types = rows.select("edge_type").distinct().withColumn("type_id", F.row_number().over(Window.orderBy("edge_type")) - 1)
-    return rows.join(types, "edge_type")
+    numbered = running_total(rows.select("edge_type").distinct(), [F.col("edge_type").asc()], F.lit(1), "type_id")
+    return rows.join(numbered.withColumn("type_id", (F.col("type_id") - 1).cast("int")), "edge_type")
 
 
 def non_edges(edges: DataFrame, nodes: DataFrame, per_node: int, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import communities, components, context, detection, importance, repair, stats, vector, walks
 from ..scratch import Scratch
 from . import providers
-from .adapters import SIMPLE_EDGES_SQL, load, simple_edges, supply_edges, supply_nodes, vectors
+from .adapters import SIMPLE_EDGES_SQL, load, simple_edges, supply_edges, supply_nodes, units, vectors
 from .catalogue import query
 from .vector_queries import QUESTION
 
@@ -28,25 +28,13 @@ def flagship_context(spark, sf_dir):
     return context.local_context(nodes, edges, texts, reports, hops, limit=20_000)
 
 
-_HEAVY = f"{_S}, h AS (SELECT src, dst FROM s WHERE weight >= 120), u AS (SELECT src AS a, dst AS b FROM h UNION ALL SELECT dst, src FROM h)"
-
-
-def _heavy(spark, sf_dir):
-    return simple_edges(spark, sf_dir).where("weight >= 120")
-
-
 @query(
-    "g1_components",
-    f"WITH RECURSIVE {_HEAVY}, w(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, w.c FROM w JOIN u ON u.a = w.id) SELECT id, min(c) AS component FROM w GROUP BY id",
+    "g1_all_components",
+    f"""WITH RECURSIVE {_B}, w(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM b
+        UNION SELECT b.b, min(w.c) FROM w JOIN b ON b.a = w.id JOIN recurring.w r ON r.id = b.b WHERE w.c < r.c GROUP BY b.b) SELECT id, c AS component FROM w""",
 )
-def g1_components(spark, sf_dir):
-    edges = _heavy(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return components.connected_components(edges, Scratch(spark, "g1"), "g1")
-
-
-@query("g1_all_components")
 def g1_all_components(spark, sf_dir):
-    """The same over all edges; the recursive SQL above is too slow for them."""
+    """Components of all edges."""
     edges = simple_edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return components.connected_components(edges, Scratch(spark, "g1all"), "g1all")
 
@@ -268,15 +256,20 @@ def g21_node_measures(spark, sf_dir):
     return detection.node_measures(edges, labels).select("id", F.round("betweenness", 8).alias("betweenness"), F.round("closeness", 8).alias("closeness"))
 
 
+def _units(spark, sf_dir):
+    """Texts of all kinds, by kind and id."""
+    return units(spark, sf_dir).select(F.concat_ws("-", "unit_type", F.col("id").cast("string"), F.xxhash64("text").cast("string")).alias("id"), "unit_type", "text")
+
+
 @query("m1_extraction")
 def m1_extraction(spark, sf_dir):
-    """Triples of the benchmark's texts by the offline provider, repaired and loaded."""
-    units = load(spark, sf_dir, "benchmark").select(F.concat(F.lit("chunk-"), "item_id").alias("id"), "text")
-    nodes, edges = repair.load_graph(providers.extracted(units, providers.Stub))
+    """Triples of all text units by the offline provider, repaired and loaded."""
+    nodes, edges = repair.load_graph(providers.extracted(_units(spark, sf_dir), providers.Stub))
     return nodes.select("id", "name").join(stats.degrees(edges).select("id", "degree"), "id", "left").select("id", "name", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query("x4_embedded_units", "SELECT item_id, 1.0::DOUBLE AS size FROM benchmark")
-def x4_embedded_units(spark, sf_dir):
-    rows = providers.embed_column(load(spark, sf_dir, "benchmark"), "text", "vector", providers.Stub)
-    return rows.select("item_id", F.round(vector.dot(F.col("vector"), F.col("vector")), 6).alias("size"))
+@query("x4_unit_vectors")
+def x4_unit_vectors(spark, sf_dir):
+    """Sizes of the vectors of all text units (null: a blank text)."""
+    rows = providers.embed_column(_units(spark, sf_dir), "text", "vector", providers.Stub)
+    return rows.select("id", "unit_type", F.round(vector.dot(F.col("vector"), F.col("vector")), 6).alias("size"))

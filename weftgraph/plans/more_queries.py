@@ -100,11 +100,6 @@ def f11_templates(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", text.filled("Name: $name; nation {nation}.", name=F.col("s_name"), nation=F.col("s_nationkey")).alias("prompt"))
 
 
-@query("json_batch_content", "SELECT item_id, CASE WHEN item_id % 3 > 0 THEN substr(text, 1, 30) END AS content FROM benchmark")
-def json_batch_content(spark, sf_dir):
-    return _batch_content(spark, sf_dir, F.substring("text", 1, 30))
-
-
 @query("json_whole_batch_content", "SELECT item_id, CASE WHEN item_id % 3 > 0 THEN text END AS content FROM benchmark")
 def json_whole_batch_content(spark, sf_dir):
     return _batch_content(spark, sf_dir, F.col("text"))
@@ -338,14 +333,6 @@ def g32_masked_scores(spark, sf_dir):
     return scores.join(e.select("src", "dst"), ["src", "dst"], "left_semi")
 
 
-@query(
-    "g6_explanations",
-    f"""WITH {_S}, e AS (SELECT src, dst FROM s WHERE weight >= 150) SELECT src, dst, s_name || ' --[SUPPLIES]--> ' || p_name AS explanation FROM e JOIN supplier ON 'S' || s_suppkey = src JOIN part ON 'P' || p_partkey = dst""",
-)
-def g6_explanations(spark, sf_dir):
-    return _explanations(spark, sf_dir, simple_edges(spark, sf_dir).where("weight >= 150"))
-
-
 @query(
     "g6_all_explanations",
     f"""WITH {_S} SELECT src, dst, s_name || ' --[SUPPLIES]--> ' || p_name AS explanation FROM s JOIN supplier ON 'S' || s_suppkey = src JOIN part ON 'P' || p_partkey = dst""",

@@ -253,6 +253,22 @@ def a22_top_label(spark, sf_dir):
     return stats.top_label(supply_edges(spark, sf_dir), _kinds(spark, sf_dir))
 
 
+#: Names of relations that hit groups by themselves, by a part, or not at all.
+_RELATIONS = ("is a type of", "Contains", "AUTHORED_BY", "Increases strongly", " reduces ", "correlates with", "USED_IN", "observed_at", "models", "forms", "located near", "FLOWS_TO", "differs from", "interacts", "depends on", "precedes", "no_effect on", "has_phase", "xyz", "", "SIMILAR_TO", "caused by", "affects")
+
+
+@query(
+    "a21_relation_groups",
+    f"""WITH n AS (SELECT [{", ".join(repr(x) for x in _RELATIONS)}][p_partkey % {len(_RELATIONS)} + 1] AS raw FROM part), r AS (SELECT raw, count(*) AS c FROM n GROUP BY raw), g AS (SELECT raw, c, {relation_group_sql("raw")} AS normalised FROM r),
+        t AS (SELECT *, row_number() OVER (PARTITION BY normalised ORDER BY c DESC, raw) AS k FROM g)
+        SELECT normalised, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_raw, round(sum(c) / sum(sum(c)) OVER (), 8) AS share, string_agg(CASE WHEN k <= 5 THEN raw END, ', ' ORDER BY k) AS examples FROM t GROUP BY normalised""",
+)
+def a21_relation_groups(spark, sf_dir):
+    """The distribution over names that fall into most groups."""
+    rows = load(spark, sf_dir, "part").select(F.element_at(F.array(*[F.lit(x) for x in _RELATIONS]), (F.col("p_partkey") % len(_RELATIONS) + 1).cast("int")).alias("name"))
+    return stats.relation_distribution(rows, "name", relation_group(F.col("raw"))).withColumn("share", F.round("share", 8))
+
+
 @query(
     "a21_relation_dist",
     f"""WITH r AS (SELECT p_name AS raw, count(*) AS c FROM part GROUP BY p_name), g AS (SELECT raw, c, {relation_group_sql("raw")} AS normalised FROM r),

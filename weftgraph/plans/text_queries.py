@@ -206,14 +206,6 @@ def w2_batches(spark, sf_dir):
     return chunking.batch_numbers(rows, [F.desc("n"), F.asc("item_id")], 16).select("item_id", F.col("position").cast("long").alias("position"), F.col("batch").cast("long").alias("batch"))
 
 
-@query(
-    "k9_batch_requests",
-    """SELECT item_id, '{"custom_id":"item-' || item_id || '","method":"POST","url":"/v1/embeddings","body":{"input":' || to_json(substr(text, 1, 40)) || ',"model":"stub"}}' AS request FROM benchmark""",
-)
-def k9_batch_requests(spark, sf_dir):
-    return _batch_requests(spark, sf_dir, F.substring("text", 1, 40))
-
-
 @query(
     "k9_whole_batch_requests",
     """SELECT item_id, '{"custom_id":"item-' || item_id || '","method":"POST","url":"/v1/embeddings","body":{"input":' || to_json(text) || ',"model":"stub"}}' AS request FROM benchmark""",
