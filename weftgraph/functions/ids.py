@@ -36,3 +36,9 @@ def base_chunk(key: Column) -> Column:
 
 def is_community(key: Column) -> Column:
     return key.rlike(r"^\d+(_\d+)+$")
+
+
+def chunk_ids(chunk_id: Column, text_unit_ids: Column) -> Column:
+    """Chunks of a node: of chunk_id, else of text_unit_ids, each one id or a JSON list of them."""
+    listed = lambda c: F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).when(F.trim(c) != "", F.array(c))
+    return F.coalesce(listed(chunk_id), listed(text_unit_ids), F.array().cast("array<string>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from ..scratch import Scratch
@@ -175,3 +177,16 @@ def attended(edges: DataFrame, features: DataFrame) -> DataFrame:
     rows = edges.join(features.select(F.col("id").alias("src"), F.posexplode("vector").alias("at", "x")), "src")
     sums = rows.groupBy(F.col("dst").alias("id"), "at").agg(F.sum(F.col("attention") * F.col("x")).alias("x"))
     return sums.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def type_vectors(types: DataFrame, vectors: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """edge_type, type_id, vector: the type's own vector, else small seeded normal numbers."""
+    noise = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: _normal(F.xxhash64("edge_type", i, F.lit(seed)), F.xxhash64("edge_type", -i, F.lit(seed))) * 0.01)
+    rows = types.select("edge_type", "type_id").distinct().join(vectors.select("edge_type", F.col("vector").cast("array<double>").alias("own")), "edge_type", "left")
+    return rows.select("edge_type", "type_id", F.coalesce("own", noise).alias("vector"))
+
+
+def _normal(a: Column, b: Column) -> Column:
+    """A normal number of two hashes."""
+    part = lambda h: (F.pmod(h, F.lit(1 << 52)) + 1) / float(1 << 52)
+    return F.sqrt(-2 * F.ln(part(a))) * F.cos(2 * math.pi * part(b))

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import graph_queries, more_queries, relational_queries, text_queries, vector_queries  # noqa: E402, F401
+from . import graph_queries, model_queries, more_queries, relational_queries, text_queries, vector_queries  # noqa: E402, F401

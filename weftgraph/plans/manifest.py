@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
 
@@ -23,14 +23,27 @@ class Manifest:
         self.state["last_completed_step"] = step
         self.path.write_text(json.dumps(self.state, indent=1))
 
-    def run(self, steps: Sequence[tuple[str, Callable[[], object]]], first: int = 0, last: int | None = None, again: bool = False) -> list[str]:
-        """Run steps first..last that are not done, in order; the first failure ends it."""
-        ran = []
-        for name, step in list(steps)[first : None if last is None else last + 1]:
+    def run(self, steps: Sequence[tuple[str, Callable[[], object]]], first: int | str = 0, last: int | None = None, again: bool = False, needs: Mapping[str, Sequence[str]] | None = None) -> list[str]:
+        """Run steps first..last that are not done, in order; the first failure ends it.
+
+        first is a place or a step's name: then that step and all after it run
+        anew. needs lists files or folders that must be there, with something in
+        them, before a step.
+        """
+        steps, ran = list(steps), []
+        if isinstance(first, str):
+            first, again = [name for name, _ in steps].index(first), True
+        for name, step in steps[first : None if last is None else last + 1]:
             if self.done(name) and not again:
                 continue
+            if lacking := [x for x in (needs or {}).get(name, ()) if not _filled(Path(x))]:
+                raise FileNotFoundError(f"{name} needs {', '.join(lacking)}")
             began = time.perf_counter()
             step()
             self.mark(name, time.perf_counter() - began)
             ran.append(name)
         return ran
+
+
+def _filled(path: Path) -> bool:
+    return any(path.iterdir()) if path.is_dir() else path.is_file() and path.stat().st_size > 0
