@@ -97,3 +97,12 @@ def test_rows_without_or_with_shared_ids_are_sanitised(spark):
     docs = documents(spark, ["mail a@b.cd now", "mail a@b.cd now", "to c@d.ef then", "plain", *["mail now to then"] * 9], [None, 3, 3, None, *range(10, 19)])
     out = pii_disclosure.sanitise(docs, pii_disclosure.find(docs)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out if (r.doc_id or 0) < 10) == [(0, "mail <email> now"), (0, "plain"), (3, "mail <email> now"), (3, "to <email> then")]
+
+
+def test_found_rows_carry_the_sanitised_text(spark):
+    docs = documents(spark, ["mail a@b.cd now", "to c@d.ef then", "plain", None, *["mail now to then"] * 9])
+    rows = {r.doc_id: r for r in pii_disclosure.find(docs, with_text=True).collect()}
+    masked = {r.doc_id: r.text for r in pii_disclosure.sanitise(docs, pii_disclosure.find(docs)).collect()}
+    assert {k: r.sanitised for k, r in rows.items()} == {k: masked[k] if r.spans else None for k, r in rows.items()}
+    assert rows[0].sanitised == "mail <email> now" and rows[2].sanitised is None
+    assert [c for c in pii_disclosure.find(docs).columns] == [c for c in pii_disclosure.find(docs, with_text=True).columns if c != "sanitised"]

@@ -235,8 +235,12 @@ def _text_key(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def find(docs: DataFrame, least_together: int = LEAST_TOGETHER, theta: float = THETA) -> DataFrame:
-    """Per row of docs: doc_id, text_key (the text's hash), counts by kind, base_sha256, spans (base and term spans)."""
+def find(docs: DataFrame, least_together: int = LEAST_TOGETHER, theta: float = THETA, with_text: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, text_key (the text's hash), counts by kind, base_sha256, spans (base and term spans).
+
+    with_text adds sanitised, the text with its spans masked; null where there
+    are no spans and the text stays as it is.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "pii")
@@ -271,7 +275,18 @@ def find(docs: DataFrame, least_together: int = LEAST_TOGETHER, theta: float = T
     extra = places.join(told, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
     written = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(f"{TERM}:"), t["start"].cast("string"), F.lit(":"), t["stop"].cast("string"))), ",")
     spans = F.concat_ws(",", F.nullif("spans", F.lit("")), written)
-    return found.drop("entities", "text").join(extra, "row", "left").select("doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    columns = ["doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans")]
+    rows = found.drop("entities").join(extra, "row", "left")
+    if not with_text:
+        return rows.select(columns)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(columns).schema)
+    return rows.select(*columns, "text").mapInArrow(_sanitiser, f"{fields}, sanitised string")
+
+
+def _sanitiser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [sanitise_text(t, s) if s else None for t, s in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)]
+        yield batch.drop_columns(["text"]).append_column("sanitised", pa.array(texts, pa.string()))
 
 
 def sanitise_text(text: str | None, spans: str | None) -> str | None:

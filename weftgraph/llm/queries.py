@@ -32,7 +32,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_disclosure.find(table(spark, sf_dir, "documents"), least_together=1).drop("text_key")
+    found = pii_disclosure.find(table(spark, sf_dir, "documents"), least_together=1, with_text=True)
+    return found.withColumn("sanitised_sha256", F.sha2("sanitised", 256)).drop("text_key", "sanitised")
 
 
 def op5_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
