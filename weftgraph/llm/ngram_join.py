@@ -607,6 +607,8 @@ def linked_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, node and component_id for every row of docs."""
     named = _components_of(docs, words)
     smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that the join has exchanges of its own and a large component's rows can be split
+    smallest = Scratch(docs.sparkSession, "ngram").keep(smallest, "smallest")
     linked = named.where("component is not null").join(smallest, "component")
     alone = named.where("component is null").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "node", "component_id"]
