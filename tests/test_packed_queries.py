@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import blocks, components, importance
+from weftgraph.operators import blocks, components, detection, importance
 from weftgraph.plans import graph_queries
 from weftgraph.plans.catalogue import QUERIES
 from weftgraph.scratch import Scratch
@@ -70,3 +70,9 @@ def test_g20_needs_no_joins_of_edges(spark, lines, monkeypatch):
     assert [r[:3] for r in packed] == [r[:3] for r in joined]
     assert [r[3] for r in packed] == pytest.approx([r[3] for r in joined])
     assert ("P80000", "S70000", "P80000", 0.5) in packed
+
+
+def test_g28_scores_edges_in_their_blocks(spark, lines, monkeypatch):
+    packed, joined = _both_ways(spark, lines, "g28_importance_job", monkeypatch, [(graph_queries, "simple_edges"), (detection, "edge_centrality")])
+    complete = [r for r in joined if None not in r[:2]]
+    assert packed == joined and len(complete) > 100
