@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import blocks, components, detection, importance
+from weftgraph.operators import blocks, communities, components, detection, importance
 from weftgraph.plans import graph_queries
 from weftgraph.plans.catalogue import QUERIES
 from weftgraph.scratch import Scratch
@@ -76,3 +76,19 @@ def test_g28_scores_edges_in_their_blocks(spark, lines, monkeypatch):
     packed, joined = _both_ways(spark, lines, "g28_importance_job", monkeypatch, [(graph_queries, "simple_edges"), (detection, "edge_centrality")])
     complete = [r for r in joined if None not in r[:2]]
     assert packed == joined and len(complete) > 100
+
+
+def test_g23_reads_the_order_lines_once(spark, lines, monkeypatch):
+    """Edges are not summed by joins first, and a line that repeats is one edge."""
+    packed, joined = _both_ways(spark, lines, "g23_method_comparison", monkeypatch, [(graph_queries, "simple_edges"), (graph_queries, "linked_nodes")])
+    assert packed == joined and len(packed) == 2
+
+
+@pytest.mark.parametrize("weight", [None, "weight"])
+def test_labels_and_moves_of_edges_taken_once(spark, monkeypatch, weight):
+    """Links that point both ways and loops are as in blocks of all edges."""
+    _, edges, side = _directed(spark)
+    nodes = spark.createDataFrame([(v,) for v in side], "id string")
+    packed = blocks.packed(edges, None, Scratch(spark, "t"), weight, once=True)
+    for run in (communities.label_propagation, communities.refined_moves):
+        assert _sorted(run(None, None, weight=weight, packed=packed)) == _sorted(run(edges, nodes, weight=weight))
