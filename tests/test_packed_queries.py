@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import blocks, communities, components, detection, importance
-from weftgraph.plans import graph_queries
+from weftgraph.plans import graph_queries, model_queries
 from weftgraph.plans.catalogue import QUERIES
 from weftgraph.scratch import Scratch
 
@@ -92,3 +92,8 @@ def test_labels_and_moves_of_edges_taken_once(spark, monkeypatch, weight):
     packed = blocks.packed(edges, None, Scratch(spark, "t"), weight, once=True)
     for run in (communities.label_propagation, communities.refined_moves):
         assert _sorted(run(None, None, weight=weight, packed=packed)) == _sorted(run(edges, nodes, weight=weight))
+
+
+def test_g9_reads_the_order_lines_once(spark, lines, monkeypatch):
+    packed, joined = _both_ways(spark, lines, "g9_connected", monkeypatch, [(model_queries, "simple_edges"), (model_queries, "linked_nodes")])
+    assert packed == joined and packed[0][1]
