@@ -97,3 +97,13 @@ def test_labels_and_moves_of_edges_taken_once(spark, monkeypatch, weight):
 def test_g9_reads_the_order_lines_once(spark, lines, monkeypatch):
     packed, joined = _both_ways(spark, lines, "g9_connected", monkeypatch, [(model_queries, "simple_edges"), (model_queries, "linked_nodes")])
     assert packed == joined and packed[0][1]
+
+
+def test_node_measures_of_packed_blocks(spark):
+    """Loops, repeated edges and such as point both ways count as one link or none; a part is a task of its own."""
+    _, edges, _ = _directed(spark)
+    packed = blocks.packed(edges, None, Scratch(spark, "t"), None, once=True)
+    labels = packed.select(F.explode("ids").alias("id"), F.col("ids")[0].alias("community"))
+    expected = {r.id: pytest.approx((r.betweenness, r.closeness)) for r in detection.node_measures(edges, labels, sources=7).collect()}
+    rows = detection.node_measures(None, None, sources=7, packed=packed).collect()
+    assert {r.id: (r.betweenness, r.closeness) for r in rows} == expected and "e" not in expected
